@@ -66,24 +66,32 @@ def mean_scores(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     return scores.groupBy(*(by or []), "metric").agg(F.round(F.avg("value"), 3).alias("value"))
 
 
-def f1_from_means(means: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """F1 rows from rounded precision and recall means, where both exist."""
-    by = by or []
-    pick = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
-    wide = means.groupBy(*by).agg(*[pick(f"{k}_{s}").alias(f"{k}_{s}") for k in ("precision", "recall") for s in ("ans", "exec")])
+def _f1(s: str) -> Column:
+    p, r = F.col(f"_precision_{s}"), F.col(f"_recall_{s}")
+    value = F.round(2 * p * r / (p + r + F.lit(1e-10)), 3)
+    return F.struct(F.lit(f"f1_{s}").alias("metric"), value.alias("value"))
+
 
-    def f1(s: str) -> Column:
-        p, r = F.col(f"precision_{s}"), F.col(f"recall_{s}")
-        return F.struct(F.lit(f"f1_{s}").alias("metric"), F.round(2 * p * r / (p + r + F.lit(1e-10)), 3).alias("value"))
+def f1_from_means(means: DataFrame, by: list[str] | None = None, keep_means: bool = False) -> DataFrame:
+    """F1 rows from rounded precision and recall means, where both exist; on wish with the means.
 
-    rows = wide.select(*by, F.explode(F.array(f1("ans"), f1("exec"))).alias("x")).select(*by, "x.metric", "x.value")
-    return rows.filter(F.col("value").isNotNull())
+    The means are read once: a group gathers one entry per metric name, never per row.
+    """
+    by = by or []
+    pick = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    picks = [pick(f"{k}_{s}").alias(f"_{k}_{s}") for k in ("precision", "recall") for s in ("ans", "exec")]
+    entries = F.array(_f1("ans"), _f1("exec"))
+    if keep_means:
+        wide = means.groupBy(*by).agg(*picks, F.collect_list(F.struct("metric", "value")).alias("_all"))
+        entries = F.concat(F.col("_all"), entries)
+    else:
+        wide = means.groupBy(*by).agg(*picks)
+    return wide.select(*by, F.explode(entries).alias("x")).select(*by, "x.metric", "x.value").filter(F.col("value").isNotNull())
 
 
 def score_table(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Means and the F1 rows that follow from them."""
-    means = mean_scores(scores, by)
-    return means.unionByName(f1_from_means(means, by))
+    return f1_from_means(mean_scores(scores, by), by, keep_means=True)
 
 
 def repeat_sample(df: DataFrame, key: str, n: int = 120, iterations: int = 5, seed: int = 42, replace: bool = False) -> DataFrame:
@@ -110,10 +118,14 @@ def repeat_sample(df: DataFrame, key: str, n: int = 120, iterations: int = 5, se
     return hashed.withColumn("_r", rank).filter(F.col("_r") <= n).select("iteration", key)
 
 
-def sampled_scores(scores: DataFrame, key: str, n: int = 120, iterations: int = 5, seed: int = 42) -> DataFrame:
-    """(iteration, key, metric, value): long scores of the rows drawn in each iteration."""
-    drawn = repeat_sample(scores.select(key).distinct(), key, n, iterations, seed)
-    return scores.join(drawn, key).select("iteration", key, "metric", "value")
+def with_iterations(scores: DataFrame, keys: DataFrame, key: str, n: int = 120, iterations: int = 5, seed: int = 42) -> DataFrame:
+    """(iteration, key, metric, value): every row once as iteration -1, and once per iteration that drew it.
+
+    Draws are made on the bare keys, so scoring runs once; the drawn keys are at most n x iterations rows.
+    """
+    drawn = repeat_sample(keys, key, n, iterations, seed).groupBy(key).agg(F.collect_list("iteration").alias("_its"))
+    spread = F.concat(F.array(F.lit(-1)), F.coalesce("_its", F.array().cast("array<int>")))
+    return scores.join(drawn, key, "left").select(F.explode(spread).alias("iteration"), key, "metric", "value")
 
 
 def sample_statistics(iteration_means: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -151,9 +163,16 @@ def group_advantage(rewards: DataFrame, prompt: str = "prompt_key", reward: str
     return rewards.join(stats, prompt).withColumn("advantage", value).drop("_mean", "_std")
 
 
-def task_report(scores: DataFrame, task: str, key: str = "pair_id", n: int = 120, iterations: int = 5, seed: int = 42) -> DataFrame:
-    """One row per metric: full-table mean (and F1) beside the repeated-sample statistics."""
-    full = score_table(scores).withColumnRenamed("value", "score")
-    per_iteration = score_table(sampled_scores(scores, key, n, iterations, seed), ["iteration"])
-    stats = sample_statistics(per_iteration)
-    return full.join(stats, "metric", "left").select(F.lit(task).alias("task"), "metric", "score", "mean", "std", "ci_lower", "ci_upper")
+def task_report(scores: DataFrame, keys: DataFrame, task: str, key: str = "pair_id", n: int = 120, iterations: int = 5, seed: int = 42) -> DataFrame:
+    """One row per metric: full-table mean (and F1) beside the repeated-sample statistics.
+
+    One line of steps from scores to report, so nothing is scored twice.
+    """
+    per_iteration = score_table(with_iterations(scores, keys, key, n, iterations, seed), ["iteration"])
+    drawn = F.when(F.col("iteration") >= 0, F.col("value"))
+    return per_iteration.groupBy("metric").agg(
+        F.lit(task).alias("task"),
+        F.max(F.when(F.col("iteration") < 0, F.col("value"))).alias("score"),
+        F.avg(drawn).alias("mean"), F.stddev_pop(drawn).alias("std"),
+        F.percentile(drawn, F.lit(0.025)).alias("ci_lower"), F.percentile(drawn, F.lit(0.975)).alias("ci_upper"),
+    ).select("task", "metric", "score", "mean", "std", "ci_lower", "ci_upper")

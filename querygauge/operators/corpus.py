@@ -113,3 +113,17 @@ def rows_to_json(rows: DataFrame, table_key: str = "table_id", order: str = "row
     grouped = rows.groupBy(table_key, F.floor(F.col(order) / block).alias("block")).agg(F.array_sort(F.collect_list(record)).alias("_rows"))
     text = F.concat(F.lit("["), F.array_join(F.transform("_rows", lambda r: r["_j"]), ","), F.lit("]"))
     return grouped.select(table_key, "block", text.alias("table_json"))
+
+
+def table_info_for(examples: DataFrame, blocks: DataFrame, key: str, sql: str) -> DataFrame:
+    """(key, table_info): labelled schema block of each table a query names, in name order.
+
+    A query without tables keeps a single blank.  Gathered per query: as many rows as it names tables.
+    """
+    from querygauge.functions.extract import table_names
+
+    named = examples.select(key, F.explode_outer(table_names(F.col(sql))).alias("table_name"))
+    joined = named.join(blocks.select("table_name", "block"), "table_name", "left")
+    line = F.concat(F.lit("Information for Table "), F.col("table_name"), F.lit(": "), F.coalesce("block", F.lit("")), F.lit("\n"))
+    grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("table_name").isNotNull(), line))).alias("_l"))
+    return grouped.select(key, F.concat(F.lit(" "), F.array_join("_l", "")).alias("table_info"))
