@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from querygauge.fixed_values import GRADE_SCORES, SCORER_WEIGHTS
-from querygauge.operators.ranking import seeded_hash
+from querygauge.operators.ranking import keys_at
 
 
 def grade_value(grade: Column) -> Column:
@@ -99,19 +99,12 @@ def repeat_sample(df: DataFrame, key: str, n: int = 120, iterations: int = 5, se
 
     Without replacement each iteration takes the first n keys in its own hash order; the constant limit
     keeps at most n keys per task and iteration before the shuffle.  With replacement each draw takes a
-    position of the hash order, so only n positions per iteration are looked up.
+    position of the hash order; draws are spread over tasks.
     """
     keys = df.select(key)
     if replace:
-        from querygauge.operators.ranking import cut_keys
-
-        total = keys.agg(F.count(F.lit(1)).alias("n"))
-        draws = total.select("n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")).select(
-            "n", "iteration", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw")
-        )
-        spot = (F.pmod(F.xxhash64(F.lit(seed), F.col("iteration"), F.col("draw")), F.col("n")) + 1).cast("bigint")
-        spots = draws.filter("n > 0").select(F.struct("iteration", "draw").alias("cut"), spot.alias("position"))
-        return cut_keys(keys, key, spots, [], seed).select("cut.iteration", F.col("cut_key.k").alias(key))
+        numbers = keys.sparkSession.range(n * iterations).select((F.col("id") % iterations).cast("int").alias("iteration"), F.xxhash64("id", F.lit(seed)).alias("draw"))
+        return keys_at(keys, key, numbers, seed).select("iteration", key)
     spread = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
     hashed = spread.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("iteration").cast("string"), F.lit("|"), F.col(key).cast("string"))))
     rank = F.row_number().over(Window.partitionBy("iteration").orderBy("_h", key))

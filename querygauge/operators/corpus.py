@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
+from math import floor
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from querygauge.operators.ranking import _sort_key, bucket_rank, cut_keys, cuts_of, seeded_hash, take_hashed
+from querygauge.operators.ranking import bucket_rank, find_cuts, seeded_hash, smallest_class_cuts, take_hashed, upto
 
 
 def to_canonical(df: DataFrame, mapping: dict[str, str], drop: list[str] | None = None) -> DataFrame:
@@ -43,18 +45,13 @@ def split(df: DataFrame, parts: list[tuple[str, float, float]], key: str, seed:
 
     Bounds are ``floor(f * n)``, worked out in decimals.
     """
-    edges = sorted({b for _, lo, hi in parts for b in (lo, hi)} - {0, 0.0, 1, 1.0})
-    at = lambda f: F.floor(F.expr(f"CAST('{f}' AS DECIMAL(18,9))") * F.col("n"))
-    cuts = cuts_of(df, key, [(f"c{i}", at(f)) for i, f in enumerate(edges)], seed) if edges else None
-    k = _sort_key(key, seed)
-    column = {}
-    for i, _ in enumerate(edges):
-        # no row at position 0: nothing lies before the cut
-        column[edges[i]] = F.coalesce(k <= cuts.select(f"c{i}").scalar(), F.lit(False))
-    upto: dict[float, Column] = {0.0: F.lit(False), 1.0: F.lit(True), **column}
+    edges = sorted({float(b) for _, lo, hi in parts for b in (lo, hi)} - {0.0, 1.0})
+    at = {str(f): (lambda n, f=f: floor(Decimal(str(f)) * n)) for f in edges}
+    cuts = find_cuts(df, key, at, seed) if edges else {}
+    before = {0.0: F.lit(False), 1.0: F.lit(True), **{f: upto(key, cuts[str(f)], seed) for f in edges}}
     label = F.lit(None).cast("string")
     for name, lo, hi in reversed(parts):
-        label = F.when(upto[float(hi)] & ~upto[float(lo)], F.lit(name)).otherwise(label)
+        label = F.when(before[float(hi)] & ~before[float(lo)], F.lit(name)).otherwise(label)
     return df.withColumn("split", label).filter(F.col("split").isNotNull())
 
 
@@ -69,12 +66,11 @@ def balance(df: DataFrame, cls: str, key: str, seed: int = 42) -> DataFrame:
 
     Only class counts and one cut per class move; a hot class is filtered in place.
     """
-    sizes = df.groupBy(cls).agg(F.count(F.lit(1)).alias("size"))
-    smallest = sizes.agg(F.min("size")).scalar()
-    spots = sizes.select(cls, F.lit("end").alias("cut"), smallest.alias("position"))
-    ends = cut_keys(df, key, spots, [cls], seed).select(F.col(cls).alias("_c"), "cut_key")
+    ends = smallest_class_cuts(df, cls, key, seed)
     joined = df.join(ends, F.col(cls).eqNullSafe(F.col("_c")))
-    return joined.filter(_sort_key(key, seed) <= F.col("cut_key")).drop("_c", "cut_key")
+    h, k = seeded_hash(F.col(key), seed), F.col(key)
+    inside = (h < F.col("_ch")) | ((h == F.col("_ch")) & (k <= F.col("_ck")))
+    return joined.filter(inside).drop("_c", "_ch", "_ck")
 
 
 def concat(dfs: list[DataFrame]) -> DataFrame:

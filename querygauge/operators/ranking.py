@@ -1,14 +1,17 @@
 """Repeatable hash order without a global window.
 
-Rows are ordered by ``md5(seed|key), key``.  Only counts per hash bucket (at most 16**digits rows) are
-gathered; a cut at a global position is found by ranking the one bucket the position falls in, and is
-then applied as a plain comparison, so the full rows are never shuffled for a split or a sample.
+Rows are ordered by ``md5(seed|key), key``; keys are unique.  Only counts per hash bucket (at most
+16**digits rows) are gathered; a cut at a global position is found by ranking the one bucket the
+position falls in, and is then applied as a comparison with two literals, so the full rows are never
+shuffled for a split or a sample.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from querygauge.session import cut_lineage
+
 DIGITS = 3  # 4,096 buckets
 
 
@@ -39,42 +42,91 @@ def bucket_rank(df: DataFrame, key: str, seed: int = 42, by: list[str] | None =
     return ranked.join(offsets, [*by, "_b"]).withColumn("rank", F.col("_ahead") + F.col("_r")).drop("_h", "_b", "_r", "_ahead")
 
 
-def _sort_key(key: str, seed: int) -> Column:
-    """Hash and key as one ordered value."""
-    return F.struct(seeded_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
+def _hashed(df: DataFrame, key: str, by: list[str], seed: int, digits: int) -> DataFrame:
+    """Only the group, the key and its hash: what a search for cuts has to read."""
+    h = df.select(*by, F.col(key).alias("_k"), seeded_hash(F.col(key), seed).alias("_h"))
+    return h.withColumn("_b", _bucket(F.col("_h"), digits))
+
+
+def _bucket_sizes(hashed: DataFrame) -> list[tuple[str, int, int]]:
+    """(bucket, rows ahead, rows) in order; at most 16**digits entries."""
+    out, ahead = [], 0
+    for row in sorted(hashed.groupBy("_b").count().collect()):
+        out.append((row["_b"], ahead, row["count"]))
+        ahead += row["count"]
+    return out
 
 
-def cut_keys(df: DataFrame, key: str, positions: DataFrame, by: list[str], seed: int = 42, digits: int = DIGITS) -> DataFrame:
-    """For each row of ``positions`` (by…, cut, position BIGINT) the ordered value standing there (1-based).
+def upto(key: str, cut: tuple[str, object] | None, seed: int = 42) -> Column:
+    """Rows standing at or before a cut; before everything (no cut) there are none."""
+    if cut is None:
+        return F.lit(False)
+    h, k = seeded_hash(F.col(key), seed), F.col(key)
+    return (h < cut[0]) | ((h == cut[0]) & (k <= F.lit(cut[1])))
 
-    Positions past the end give no row.  Rows are pruned to the buckets that hold a cut before the sort.
+
+def find_cuts(df: DataFrame, key: str, positions: dict[str, object], seed: int = 42, digits: int = DIGITS) -> dict[str, tuple[str, object] | None]:
+    """(hash, key) standing at each named 1-based position; None for positions before the first row.
+
+    ``positions`` maps names to functions of the row count; a position past the end means the last row.
+    Two small jobs: counts per bucket, then one sort inside the buckets that hold a cut.
     """
-    hashed = df.select(*by, _sort_key(key, seed).alias("_k")).withColumn("_b", _bucket(F.col("_k.h"), digits))
-    offsets = _offsets(hashed, by)
-    on = [F.col(f"o.{c}").eqNullSafe(F.col(f"p.{c}")) for c in by]
-    inside = (F.col("p.position") > F.col("o._ahead")) & (F.col("p.position") <= F.col("o._ahead") + F.col("o._n"))
-    condition = inside
-    for c in on:
-        condition = c & condition
-    wanted = offsets.alias("o").join(positions.alias("p"), condition).select(
-        *[F.col(f"o.{c}") for c in by], F.col("o._b").alias("_b"), (F.col("p.position") - F.col("o._ahead")).alias("_r"), F.col("p.cut").alias("cut")
-    )
-    candidates = hashed.join(wanted.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
-    ranked = candidates.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_k")).cast("bigint"))
-    return ranked.join(wanted, [*by, "_b", "_r"]).select(*by, "cut", F.col("_k").alias("cut_key"))
-
-
-def cuts_of(df: DataFrame, key: str, positions: list[tuple[str, Column]], seed: int = 42) -> DataFrame:
-    """One row with a column per named cut; ``positions`` are expressions over the row count ``n``."""
-    spots = df.agg(F.count(F.lit(1)).alias("n")).select(
-        F.explode(F.array(*[F.struct(F.lit(name).alias("cut"), p.cast("bigint").alias("position")) for name, p in positions])).alias("x")
-    ).select("x.*")
-    found = cut_keys(df, key, spots, [], seed)
-    return found.groupBy().pivot("cut", [name for name, _ in positions]).agg(F.max("cut_key"))
+    hashed = _hashed(df, key, [], seed, digits)
+    sizes = _bucket_sizes(hashed)
+    n = sum(size for _, _, size in sizes)
+    places: dict[str, tuple[str, int]] = {}
+    for name, position in positions.items():
+        at = min(int(position(n)), n)
+        for bucket, ahead, size in sizes:
+            if ahead < at <= ahead + size:
+                places[name] = (bucket, at - ahead)
+    if not places:
+        return {name: None for name in positions}
+    inside = hashed.filter(F.col("_b").isin(sorted({b for b, _ in places.values()})))
+    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_k")))
+    wanted = [(F.col("_b") == b) & (F.col("_r") == r) for b, r in set(places.values())]
+    test = wanted[0]
+    for w in wanted[1:]:
+        test = test | w
+    found = {(row["_b"], row["_r"]): (row["_h"], row["_k"]) for row in ranked.filter(test).collect()}  # one row per cut
+    return {name: found[places[name]] if name in places else None for name in positions}
 
 
 def take_hashed(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The first ``n`` rows in hash order as a filter: no sort and no shuffle of the rows themselves."""
-    cut = cuts_of(df, key, [("end", F.lit(n))], seed).select("end").scalar()
-    k = _sort_key(key, seed)
-    return df.filter(cut.isNull() | (k <= cut)) if n > 0 else df.limit(0)
+    return df.filter(upto(key, find_cuts(df, key, {"end": lambda _: n}, seed)["end"], seed))
+
+
+def keys_at(df: DataFrame, key: str, draws: DataFrame, seed: int = 42, digits: int = DIGITS) -> DataFrame:
+    """``draws`` with the key standing at each row's ``draw`` (any number, taken modulo the row count)."""
+    hashed = _hashed(df, key, [], seed, digits)
+    sizes = _bucket_sizes(hashed)
+    if not sizes:
+        return draws.limit(0).withColumn(key, F.lit(None))
+    n = sum(size for _, _, size in sizes)
+    # one folded literal each, however many buckets
+    ahead = F.split(F.lit(",".join(str(a) for _, a, _ in sizes)), ",").cast("array<bigint>")
+    names = F.split(F.lit(",".join(b for b, _, _ in sizes)), ",")
+    position = F.pmod(F.col("draw"), F.lit(n))  # rows ahead of the wanted one
+    spots = draws.withColumn("_p", position).withColumn("_i", F.size(F.filter(ahead, lambda x: x <= F.col("_p"))))
+    spots = spots.select("*", F.element_at(names, F.col("_i")).alias("_b"), (F.col("_p") - F.element_at(ahead, F.col("_i")) + 1).alias("_r")).drop("_p", "_i")
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_k")).cast("bigint")
+    ranked = hashed.select("_b", "_k", rank.alias("_r"))
+    return spots.join(ranked, ["_b", "_r"]).drop("_b", "_r").withColumnRenamed("_k", key)
+
+
+def smallest_class_cuts(df: DataFrame, cls: str, key: str, seed: int = 42, digits: int = DIGITS) -> DataFrame:
+    """(class, _ch, _ck): where each class reaches the size of the smallest one.
+
+    Kept as a written table of one row per class, so later steps do not repeat the search.
+    """
+    hashed = _hashed(df, key, [cls], seed, digits)
+    counts = cut_lineage(hashed.groupBy(cls, "_b").count())
+    smallest = counts.groupBy(cls).agg(F.sum("count").alias("n")).agg(F.min("n")).first()[0]  # one number
+    w = Window.partitionBy(cls).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = counts.withColumn("_upto", F.sum("count").over(w)).withColumn("_ahead", F.col("_upto") - F.col("count"))
+    holds = ahead.filter((F.col("_ahead") < F.lit(smallest)) & (F.lit(smallest) <= F.col("_upto")))
+    spots = holds.select(F.col(cls).alias("_c"), F.col("_b").alias("_cb"), (F.lit(smallest) - F.col("_ahead")).alias("_at"))
+    inside = hashed.join(spots, F.col(cls).eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_cb")))
+    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy("_h", "_k")))
+    return cut_lineage(ranked.filter(F.col("_r") == F.col("_at")).select("_c", F.col("_h").alias("_ch"), F.col("_k").alias("_ck")))

@@ -9,6 +9,6 @@ def all_queries() -> dict:
 
     from querygauge.plans.registry import QUERIES
 
-    for module in ("text_queries", "corpus_queries", "score_queries", "exec_queries"):
+    for module in ("text_queries", "corpus_queries", "score_queries", "exec_queries", "shape_queries", "source_queries", "task_queries"):
         import_module(f"querygauge.plans.{module}")
     return QUERIES
