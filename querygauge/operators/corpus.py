@@ -61,16 +61,17 @@ def decontaminate(df: DataFrame, other: DataFrame, key: str = "question") -> Dat
     return df.join(seen, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
 
 
-def balance(df: DataFrame, cls: str, key: str, seed: int = 42) -> DataFrame:
-    """Cut every class to the size of the smallest, by hash order.
+def balance(df: DataFrame, cls: str, key: str, seed: int = 42, within: list[str] | None = None) -> DataFrame:
+    """Cut every class to the size of the smallest, by hash order; with ``within``, in each of its groups.
 
-    Only class counts and one cut per class move; a hot class is filtered in place.
+    Only counts per class and bucket and one cut per class move; a hot class is filtered in place.
     """
-    ends = smallest_class_cuts(df, cls, key, seed)
-    joined = df.join(ends, F.col(cls).eqNullSafe(F.col("_c")))
+    by = [*(within or []), cls]
+    ends = smallest_class_cuts(df, cls, key, within or [], seed)
+    joined = df.join(ends, [F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(by)])
     h, k = seeded_hash(F.col(key), seed), F.col(key)
     inside = (h < F.col("_ch")) | ((h == F.col("_ch")) & (k <= F.col("_ck")))
-    return joined.filter(inside).drop("_c", "_ch", "_ck")
+    return joined.filter(inside).drop("_ch", "_ck", *[f"_c{i}" for i, _ in enumerate(by)])
 
 
 def concat(dfs: list[DataFrame]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from querygauge.operators.clauses import sql_f1
+from querygauge.operators.placement import spread
 from querygauge.session import cut_lineage
 
 _TOKEN = r"\([^()]*\)|<?-\[[^\]]*\]->?"
@@ -92,7 +94,7 @@ def _indexed(graph: Column) -> Column:
 
 def graph_pairs(pairs: DataFrame, key: str = "pair_id", gold: str = "gold", pred: str = "pred") -> DataFrame:
     """(key, g1, g2): both graphs of a pair."""
-    df = with_pattern_graph(with_pattern_graph(pairs.select(key, gold, pred), gold, "g1"), pred, "g2")
+    df = with_pattern_graph(with_pattern_graph(spread(pairs.select(key, gold, pred), key), gold, "g1"), pred, "g2")
     return df.select(key, "g1", "g2")
 
 
@@ -200,8 +202,6 @@ def graph_multiset_overlap(pairs: DataFrame, key: str = "pair_id", gold: str = "
 
 def component_or_graph(pairs: DataFrame, key: str = "pair_id", gold: str = "gold", pred: str = "pred", query_type: str = "query_type") -> DataFrame:
     """(key, component_or_graph): clause F1 for SQL rows, graph overlap for Cypher rows."""
-    from querygauge.functions.clauses import with_sql_f1
-
-    sql = with_sql_f1(pairs.filter(F.col(query_type) == "sql").select(key, gold, pred), gold, pred, "component_or_graph")
+    sql = sql_f1(pairs.filter(F.col(query_type) == "sql"), key, gold, pred).withColumnRenamed("component", "component_or_graph")
     graph = graph_overlap(pairs.filter(F.col(query_type) != "sql"), key, gold, pred).withColumnRenamed("overlap", "component_or_graph")
-    return sql.select(key, "component_or_graph").unionByName(graph)
+    return sql.unionByName(graph)

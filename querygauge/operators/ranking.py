@@ -115,18 +115,23 @@ def keys_at(df: DataFrame, key: str, draws: DataFrame, seed: int = 42, digits: i
     return spots.join(ranked, ["_b", "_r"]).drop("_b", "_r").withColumnRenamed("_k", key)
 
 
-def smallest_class_cuts(df: DataFrame, cls: str, key: str, seed: int = 42, digits: int = DIGITS) -> DataFrame:
-    """(class, _ch, _ck): where each class reaches the size of the smallest one.
+def smallest_class_cuts(df: DataFrame, cls: str, key: str, within: list[str], seed: int = 42, digits: int = DIGITS) -> DataFrame:
+    """(_c0…, _c, _ch, _ck): where each class reaches the size of the smallest one, inside each ``within`` group.
 
     Kept as a written table of one row per class, so later steps do not repeat the search.
     """
-    hashed = _hashed(df, key, [cls], seed, digits)
-    counts = cut_lineage(hashed.groupBy(cls, "_b").count())
-    smallest = counts.groupBy(cls).agg(F.sum("count").alias("n")).agg(F.min("n")).first()[0]  # one number
-    w = Window.partitionBy(cls).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by = [*within, cls]
+    hashed = _hashed(df, key, by, seed, digits)
+    counts = cut_lineage(hashed.groupBy(*by, "_b").count())
+    sizes = counts.groupBy(*by).agg(F.sum("count").alias("_n"))
+    least = sizes.groupBy(*within).agg(F.min("_n").alias("_least"))
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = counts.withColumn("_upto", F.sum("count").over(w)).withColumn("_ahead", F.col("_upto") - F.col("count"))
-    holds = ahead.filter((F.col("_ahead") < F.lit(smallest)) & (F.lit(smallest) <= F.col("_upto")))
-    spots = holds.select(F.col(cls).alias("_c"), F.col("_b").alias("_cb"), (F.lit(smallest) - F.col("_ahead")).alias("_at"))
-    inside = hashed.join(spots, F.col(cls).eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_cb")))
-    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy("_h", "_k")))
-    return cut_lineage(ranked.filter(F.col("_r") == F.col("_at")).select("_c", F.col("_h").alias("_ch"), F.col("_k").alias("_ck")))
+    same = lambda names, left, right: [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in names]
+    sized = ahead.alias("a").join(least.alias("l"), same(within, "a", "l")) if within else ahead.alias("a").withColumn("_least", least.scalar())
+    holds = sized.filter((F.col("_ahead") < F.col("_least")) & (F.col("_least") <= F.col("_upto")))
+    spots = holds.select(*[F.col(f"a.{c}") for c in by], F.col("a._b").alias("_b"), (F.col("_least") - F.col("_ahead")).alias("_at"))
+    inside = hashed.alias("h").join(spots.alias("s"), same([*by, "_b"], "h", "s"))
+    rows = inside.select(*[F.col(f"h.{c}").alias(f"_c{i}") for i, c in enumerate(by)], F.col("h._h").alias("_ch"), F.col("h._k").alias("_ck"), F.col("s._at").alias("_at"))
+    rank = F.row_number().over(Window.partitionBy(*[f"_c{i}" for i, _ in enumerate(by)]).orderBy("_ch", "_ck"))
+    return cut_lineage(rows.withColumn("_r", rank).filter(F.col("_r") == F.col("_at")).drop("_r", "_at"))

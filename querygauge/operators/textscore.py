@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from querygauge.functions.extract import collapse, normalise_answer, words
+from querygauge.operators.placement import spread
 
 _NUMBER = r"^\+?\d+(e\+?\d+)?$|^\+?inf(inity)?$"
 
@@ -27,14 +28,6 @@ def contains_match(gold: Column, pred: Column) -> Column:
     return F.contains(F.lower(pred), F.lower(gold)).cast("int")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows placed by key over all shuffle partitions, for work that costs far more than moving its input.
-
-    The number is given so that the small input of a large computation is not coalesced into few tasks.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-
-
 # --- longest common subsequence -----------------------------------------------------------------
 
 
@@ -159,6 +152,7 @@ def map_similarity(pairs: DataFrame, key: str, pred_map: str, gold_map: str, nat
 
     The maps of a pair are matched inside its row, so only (key, text, text) rows are exploded.
     """
+    pairs = spread(pairs.select(key, pred_map, gold_map), key)
     p, g = F.col(pred_map), F.col(gold_map)
     keys = F.array_union(F.map_keys(p), F.map_keys(g))
     rows = pairs.select(

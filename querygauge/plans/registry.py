@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from querygauge.operators.placement import spread
 from querygauge.schemas import TABLES
 from querygauge.sources.readers import read_table
 
@@ -100,7 +101,7 @@ def _contains(pairs: DataFrame) -> DataFrame:
 def _rouge(pairs: DataFrame) -> DataFrame:
     from querygauge.operators.textscore import rouge_l
 
-    return _named(pairs.select("pair_id", rouge_l(F.col("gold"), F.col("pred")).alias("v")), "v", "rouge_l")
+    return _named(spread(pairs, "pair_id").select("pair_id", rouge_l(F.col("gold"), F.col("pred")).alias("v")), "v", "rouge_l")
 
 
 @scorer("bleu4")
@@ -114,7 +115,7 @@ def _bleu(pairs: DataFrame) -> DataFrame:
 def _sequence(pairs: DataFrame) -> DataFrame:
     from querygauge.operators.textscore import sequence_ratio
 
-    return _named(pairs.select("pair_id", sequence_ratio(F.col("gold"), F.col("pred")).alias("v")), "v", "sequence")
+    return _named(spread(pairs, "pair_id").select("pair_id", sequence_ratio(F.col("gold"), F.col("pred")).alias("v")), "v", "sequence")
 
 
 @scorer("component")

@@ -13,6 +13,7 @@ from querygauge.fixed_values import CYPHER_TEMPLATE, LANGUAGE_EXAMPLES_TEMPLATE,
 from querygauge.functions import extract as X, prompts as B
 from querygauge.operators import aggregate as A, corpus as P, results as E, textscore as M
 from querygauge.operators.graphs import component_or_graph
+from querygauge.operators.placement import spread
 
 TASKS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -143,7 +144,7 @@ def training_mix(corpora: dict[str, DataFrame], end_mark: str = "", seed: int =
     """
     parts = [("train", 0, 0.99), ("test", 0.99, 1)]
     mixed = P.concat([P.split(df, parts, "example_id", seed) for df in _tagged(corpora)])
-    even = P.concat([P.balance(mixed.filter(F.col("split") == name), "query_type", "example_id", seed) for name, _, _ in parts])
+    even = P.balance(mixed, "query_type", "example_id", seed, within=["split"])
     prompt = F.when(F.col("query_type") == "sql", _prompt("sql")).otherwise(_prompt("cypher"))
     done = B.completion(F.col("thinking"), F.col("answer"), F.col("query_type"), end_mark)
     return even.select("example_id", "query_type", "split", B.messages(F.lit(THINKING_SYSTEM), prompt, done).alias("messages"))
@@ -162,7 +163,7 @@ def rl_mix(sql: DataFrame, cypher: DataFrame, seen: DataFrame, validation_cap: i
         parts = P.split(df, ranges[kind], "example_id", seed)
         train.append(parts.filter(F.col("split") == "train"))
         validation.append(P.head(parts.filter(F.col("split") == "validation"), validation_cap, "example_id", seed))
-    even = P.concat([P.balance(P.concat(part), "query_type", "example_id", seed) for part in (train, validation)])
+    even = P.balance(P.concat([*train, *validation]), "query_type", "example_id", seed, within=["split"])
     prompt = F.when(F.col("query_type") == "sql", _prompt("sql")).otherwise(_prompt("cypher"))
     return even.select("example_id", "query_type", "split", "question", "answer", "context", B.messages(F.lit(THINKING_SYSTEM), prompt).alias("prompt"))
 
@@ -184,7 +185,7 @@ def reward_table(completions: DataFrame) -> DataFrame:
     ``completions``: (pair_id, query_type, gold, response, grade).
     """
     kind = F.col("query_type")
-    pairs = completions.select(
+    pairs = spread(completions.select("pair_id", "query_type", "grade", "gold", "response"), "pair_id").select(
         "pair_id", "query_type", "grade", X.normalise_query(F.col("gold"), kind).alias("gold"), X.training_query(F.col("response"), kind).alias("pred")
     )
     sides = pairs.select("pair_id", M.sequence_ratio(F.col("gold"), F.col("pred")).alias("sequence"), A.grade_to_score(F.col("grade")).alias("verdict"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from querygauge.fixed_values import ANSWER_PUNCTUATION, FIXED_NOW, LANGUAGE_TAGS, VITAL_RANGES
 from querygauge.functions import extract as X
-from querygauge.functions.clauses import CYPHER_ALL, CYPHER_MAIN, LISTED, SQL_ALL, mask_variables, with_cypher_f1, with_sql_f1
+from querygauge.functions.clauses import CYPHER_ALL, CYPHER_MAIN, LISTED, SQL_ALL, mask_variables
 from querygauge.operators import clauses as C, graphs as G, textscore as M
+from querygauge.operators.placement import spread
 from querygauge.plans import fixtures as fx
 from querygauge.plans.registry import Tables, query, run_scorers
 
@@ -235,7 +236,7 @@ def _(t):
 
 @query("m_rouge_l_documents")
 def _(t):
-    return t.sql(fx.TEXT_PAIRS).select("pair_id", F.round(M.rouge_l(F.col("gold"), F.col("pred")), 6).alias("rouge"))
+    return spread(t.sql(fx.TEXT_PAIRS), "pair_id").select("pair_id", F.round(M.rouge_l(F.col("gold"), F.col("pred")), 6).alias("rouge"))
 
 
 def sql_bleu(pairs: str) -> str:
@@ -273,7 +274,7 @@ def _(t):
 @query("m_sequence_ratio")
 def _(t):
     both = t.sql(fx.SQL_PAIRS).unionByName(t.sql(fx.CYPHER_PAIRS))
-    return both.select("pair_id", "query_type", F.round(M.sequence_ratio(F.col("gold"), F.col("pred")), 6).alias("ratio"))
+    return spread(both, "pair_id").select("pair_id", "query_type", F.round(M.sequence_ratio(F.col("gold"), F.col("pred")), 6).alias("ratio"))
 
 
 @query(
@@ -282,7 +283,7 @@ def _(t):
       ELSE 1.0 - CAST(levenshtein(gold, pred) AS DOUBLE) / greatest(length(gold), length(pred)) END, 6) AS similarity FROM ({fx.SQL_PAIRS})""",
 )
 def _(t):
-    return t.sql(fx.SQL_PAIRS).select("pair_id", F.round(M.levenshtein_similarity(F.col("gold"), F.col("pred")), 6).alias("similarity"))
+    return spread(t.sql(fx.SQL_PAIRS), "pair_id").select("pair_id", F.round(M.levenshtein_similarity(F.col("gold"), F.col("pred")), 6).alias("similarity"))
 
 
 @query(
@@ -293,7 +294,7 @@ def _(t):
       SELECT pair_id, round(2.0 * CAST(sum(least(a, b)) AS DOUBLE) / CAST(sum(a + b) AS DOUBLE), 6) AS bound FROM n GROUP BY pair_id""",
 )
 def _(t):
-    return t.sql(fx.TEXT_PAIRS).select("pair_id", F.round(M.similarity_bound(F.col("gold"), F.col("pred")), 6).alias("bound"))
+    return spread(t.sql(fx.TEXT_PAIRS), "pair_id").select("pair_id", F.round(M.similarity_bound(F.col("gold"), F.col("pred")), 6).alias("bound"))
 
 
 _MAPS = """
@@ -389,7 +390,7 @@ _SQL_F1 = f"""WITH {sql_components(_sides(fx.SQL_PAIRS))},
 
 @query("c_sql_f1", _SQL_F1)
 def _(t):
-    return with_sql_f1(t.sql(fx.SQL_PAIRS), "gold", "pred", "f1").select("pair_id", F.round("f1", 6).alias("f1"))
+    return C.sql_f1(t.sql(fx.SQL_PAIRS)).select("pair_id", F.round("component", 6).alias("f1"))
 
 
 def sql_cypher_components(source: str, keywords: list[str]) -> str:
@@ -437,7 +438,7 @@ _CYPHER_F1 = f"""WITH {sql_cypher_components(_masked(fx.CYPHER_PAIRS), CYPHER_MA
 
 @query("c_cypher_f1", _CYPHER_F1)
 def _(t):
-    return with_cypher_f1(t.sql(fx.CYPHER_PAIRS), "gold", "pred", "f1").select("pair_id", F.round("f1", 6).alias("f1"))
+    return C.cypher_f1(t.sql(fx.CYPHER_PAIRS)).select("pair_id", F.round("component", 6).alias("f1"))
 
 
 def both_pairs(t: Tables) -> DataFrame:
