@@ -72,13 +72,13 @@ def with_pattern_graph(df: DataFrame, query: str, out: str) -> DataFrame:
 
 
 def pattern_nodes(df: DataFrame, key: str, query: str) -> DataFrame:
-    graph = with_pattern_graph(df.select(key, query), query, "_g")
+    graph = with_pattern_graph(spread(df.select(key, query), key), query, "_g")
     rows = graph.select(key, F.explode_outer("_g.nodes").alias("n")).filter(F.col("n").isNotNull())
     return rows.select(key, "n.var", "n.label")
 
 
 def pattern_edges(df: DataFrame, key: str, query: str) -> DataFrame:
-    graph = with_pattern_graph(df.select(key, query), query, "_g")
+    graph = with_pattern_graph(spread(df.select(key, query), key), query, "_g")
     rows = graph.select(key, F.explode_outer("_g.edges").alias("e")).filter(F.col("e").isNotNull())
     return rows.select(key, "e.src", "e.dst", "e.type")
 

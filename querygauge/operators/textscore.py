@@ -76,33 +76,36 @@ def ngram_profile(texts: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return w.select(key, F.explode(grams(F.col("_w"), n)).alias("gram")).groupBy(key, "gram").count()
 
 
+_FEW = 32  # up to this many shared grams are kept by comparing, beyond it all grams are counted
+
+
 def bleu4(pairs: DataFrame, key: str = "pair_id", gold: str = "gold", pred: str = "pred") -> DataFrame:
     """Clipped 1-4-gram precision with brevity penalty, as (key, bleu).
 
     The pairs move once, by key, as plain text; both group-bys then run inside those partitions
-    because their keys start from the same column.
+    because their keys start from the same column.  Grams that only one side has add nothing to the
+    clipped counts: where the sides share few grams of a length, only those become rows.
     """
     placed = spread(pairs.select(key, gold, pred), key)
     w = placed.select(key, words(F.lower(F.col(gold))).alias("_g"), words(F.lower(F.col(pred))).alias("_p"))
-
-    def side(col: str, is_pred: int) -> list[Column]:
-        def sized(n: int) -> Column:
-            return F.transform(grams(F.col(col), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(is_pred).alias("p")))
-
-        return [sized(n) for n in range(1, 5)]
-
-    rows = w.select(key, F.explode_outer(F.flatten(F.array(*side("_g", 0), *side("_p", 1)))).alias("x")).select(key, "x.*")
-    counted = rows.groupBy(key, "n", "gram").agg(
-        F.count_if(F.col("p") == 1).alias("cp"), F.count_if(F.col("p") == 0).alias("cg")
-    )
-    per_n = [F.sum(F.when(F.col("n") == n, F.least("cp", "cg")).otherwise(0)).alias(f"hit{n}") for n in range(1, 5)]
-    totals = [F.sum(F.when(F.col("n") == n, F.col("cp")).otherwise(0)).alias(f"all{n}") for n in range(1, 5)]
-    sums = counted.groupBy(key).agg(*per_n, *totals, F.sum(F.when(F.col("n") == 1, F.col("cg")).otherwise(0)).alias("ref"))
-    logs = [
-        F.when(F.col(f"hit{n}") > 0, F.log(F.col(f"hit{n}") / F.col(f"all{n}"))).otherwise(F.log(F.lit(1e-7)))
-        for n in range(1, 5)
-    ]
-    penalty = F.when(F.col("all1") > 0, F.least(F.lit(1.0), F.exp(1 - F.col("ref") / F.nullif(F.col("all1"), F.lit(0))))).otherwise(0.0)
+    for n in range(1, 5):
+        w = w.withColumn(f"_g{n}", grams(F.col("_g"), n)).withColumn(f"_p{n}", grams(F.col("_p"), n))
+    for n in range(1, 5):
+        w = w.withColumn(f"_s{n}", F.array_intersect(f"_g{n}", f"_p{n}"))
+
+    def shared(n: int, side: str, is_pred: int) -> Column:
+        common, all_grams = F.col(f"_s{n}"), F.col(f"_{side}{n}")
+        kept = F.when(F.size(common) > _FEW, all_grams).otherwise(F.filter(all_grams, lambda g: F.array_contains(common, g)))
+        return F.transform(kept, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(is_pred).alias("p")))
+
+    entries = F.flatten(F.array(*[shared(n, side, is_pred) for n in range(1, 5) for side, is_pred in (("g", 0), ("p", 1))]))
+    sizes = [F.size("_g").alias("ref"), F.size("_p").alias("gen")]
+    rows = w.select(key, *sizes, F.explode_outer(entries).alias("x")).select(key, "ref", "gen", "x.*")
+    counted = rows.groupBy(key, "ref", "gen", "n", "gram").agg(F.count_if(F.col("p") == 1).alias("cp"), F.count_if(F.col("p") == 0).alias("cg"))
+    hits = [F.sum(F.when(F.col("n") == n, F.least("cp", "cg")).otherwise(0)).alias(f"hit{n}") for n in range(1, 5)]
+    sums = counted.groupBy(key, "ref", "gen").agg(*hits)
+    logs = [F.when(F.col(f"hit{n}") > 0, F.log(F.col(f"hit{n}") / (F.col("gen") - (n - 1)))).otherwise(F.log(F.lit(1e-7))) for n in range(1, 5)]
+    penalty = F.when(F.col("gen") > 0, F.least(F.lit(1.0), F.exp(1 - F.col("ref") / F.nullif(F.col("gen"), F.lit(0))))).otherwise(0.0)
     return sums.select(key, (penalty * F.exp((logs[0] + logs[1] + logs[2] + logs[3]) / 4)).alias("bleu"))
 
 
