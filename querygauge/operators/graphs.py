@@ -11,6 +11,7 @@ from querygauge.session import cut_lineage
 _TOKEN = r"\([^()]*\)|<?-\[[^\]]*\]->?"
 _NODE = r"^\(\s*(\w*)\s*(?::\s*(\w+))?\s*(?:\{[^}]*\})?\s*\)$"
 _EDGE = r"\[\s*\w*\s*(?::\s*(\w+))?"
+_PRUNE_FROM = 6  # levels; below it a search is too small to be worth the extra step
 _SHAPE = ", ".join(f"{g} STRUCT<labels: ARRAY<STRING>, edges: ARRAY<STRUCT<i: INT, j: INT, type: STRING>>>" for g in "ab")
 _GRAPH = "struct<nodes:array<struct<var:string,label:string>>,edges:array<struct<src:string,dst:string,type:string>>>"
 
@@ -113,8 +114,8 @@ def shape_distances(shapes: DataFrame, cut_every: int = 4) -> DataFrame:
     Deleting one graph and inserting the other costs its total size; each matched node or edge saves 2
     (1 if the label or type differs).  The most that can be saved is found by placing one node per
     level.  After a level, two partial placements with the same used nodes and the same images of the
-    nodes that still have open edges have the same future, so a group-by keeps the better one.  Nothing
-    is cut off, whatever the size of the graphs.
+    nodes that still have open edges have the same future, so a group-by keeps the better one; long
+    searches also drop placements that provably cannot win.  The result is exact at any size.
     """
     parsed = shapes.select("shape").distinct().withColumn("x", F.from_json("shape", _SHAPE))
     # the smaller graph is placed node by node: fewer levels; costs are the same both ways
@@ -129,6 +130,8 @@ def shape_distances(shapes: DataFrame, cut_every: int = 4) -> DataFrame:
     levels = state.agg(F.max(F.size("a.labels"))).first()[0] or 0  # one number
     for k in range(levels):
         state = _place(state, k)
+        if levels > _PRUNE_FROM:
+            state = _promising(state, k)
         if (k + 1) % cut_every == 0 and k + 1 < levels:
             state = cut_lineage(state)
     size = lambda g: F.size(f"{g}.labels") + F.size(f"{g}.edges")
@@ -137,6 +140,19 @@ def shape_distances(shapes: DataFrame, cut_every: int = 4) -> DataFrame:
     return sized.select("shape", "size1", "size2", (F.col("size1") + F.col("size2") - F.col("saved")).alias("ged"))
 
 
+def _promising(state: DataFrame, k: int) -> DataFrame:
+    """Drop placements that cannot reach what another already saves; the best one always stays.
+
+    Any placement can be finished by matching nothing more, so the most saved so far is reachable; what a
+    placement may still gain is at most 2 per node and per edge left.
+    """
+    nodes = F.least(F.greatest(F.size("a.labels") - (k + 1), F.lit(0)), F.size("b.labels") - F.size("used"))
+    edges = F.size(F.filter("a.edges", lambda e: F.greatest(e["i"], e["j"]) > k))
+    reach = F.col("saved") + 2 * (nodes + F.least(edges, F.size("b.edges")))
+    best = state.groupBy("shape").agg(F.max("saved").alias("best"))
+    return state.join(best, "shape").filter(reach >= F.col("best")).drop("best")
+
+
 def _place(state: DataFrame, k: int) -> DataFrame:
     """Place node ``k`` of graph a on every free node of b, or on none (-1)."""
     size = F.size("a.labels")
