@@ -8,11 +8,15 @@ shuffled for a split or a sample.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from querygauge.session import cut_lineage
 
 DIGITS = 3  # 4,096 buckets
+SORTED_ROWS = 2_000_000  # rows of one bucket that a single task sorts
 
 
 def seeded_hash(key: Column, seed: int = 42) -> Column:
@@ -69,27 +73,37 @@ def find_cuts(df: DataFrame, key: str, positions: dict[str, object], seed: int =
     """(hash, key) standing at each named 1-based position; None for positions before the first row.
 
     ``positions`` maps names to functions of the row count; a position past the end means the last row.
-    Two small jobs: counts per bucket, then one sort inside the buckets that hold a cut.
+    Small jobs: counts per bucket (again by longer prefixes where a bucket is large), then one sort inside
+    the buckets that hold a cut.
     """
     hashed = _hashed(df, key, [], seed, digits)
     sizes = _bucket_sizes(hashed)
     n = sum(size for _, _, size in sizes)
-    places: dict[str, tuple[str, int]] = {}
-    for name, position in positions.items():
-        at = min(int(position(n)), n)
-        for bucket, ahead, size in sizes:
-            if ahead < at <= ahead + size:
-                places[name] = (bucket, at - ahead)
+    wanted = {name: min(int(position(n)), n) for name, position in positions.items()}
+    places = {name: spot for name, at in wanted.items() if (spot := _spot(sizes, at))}
+    while any(size > SORTED_ROWS for _, _, size in places.values()) and digits < 30:
+        # a bucket too large for one sort is counted again by longer prefixes, inside the wanted buckets only
+        inside, digits = hashed.filter(F.col("_b").isin(sorted({b for b, _, _ in places.values()}))), digits + DIGITS
+        hashed = inside.withColumn("_b", _bucket(F.col("_h"), digits))
+        finer = _bucket_sizes(hashed)
+        places = {name: _spot([x for x in finer if x[0].startswith(b)], at) for name, (b, at, _) in places.items()}
     if not places:
         return {name: None for name in positions}
-    inside = hashed.filter(F.col("_b").isin(sorted({b for b, _ in places.values()})))
+    inside = hashed.filter(F.col("_b").isin(sorted({b for b, _, _ in places.values()})))
     ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_k")))
-    wanted = [(F.col("_b") == b) & (F.col("_r") == r) for b, r in set(places.values())]
-    test = wanted[0]
-    for w in wanted[1:]:
-        test = test | w
-    found = {(row["_b"], row["_r"]): (row["_h"], row["_k"]) for row in ranked.filter(test).collect()}  # one row per cut
-    return {name: found[places[name]] if name in places else None for name in positions}
+    tests = [(F.col("_b") == b) & (F.col("_r") == r) for b, r in {(b, r) for b, r, _ in places.values()}]
+    rows = ranked.filter(reduce(or_, tests)).collect()  # one row per cut
+    found = {(row["_b"], row["_r"]): (row["_h"], row["_k"]) for row in rows}
+    return {name: found[places[name][:2]] if name in places else None for name in positions}
+
+
+def _spot(sizes: list[tuple[str, int, int]], at: int) -> tuple[str, int, int] | None:
+    """(bucket, position inside it, its size) of a position counted from the first of the given buckets."""
+    start = sizes[0][1] if sizes else 0
+    for bucket, ahead, size in sizes:
+        if ahead - start < at <= ahead - start + size:
+            return bucket, at - (ahead - start), size
+    return None
 
 
 def take_hashed(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

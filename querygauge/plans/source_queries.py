@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from querygauge.operators import aggregate as A
+from querygauge.operators.corpus import attach_context
 from querygauge.plans import fixtures as fx
 from querygauge.plans.registry import query
 from querygauge.schemas import MESSAGES, TABLES
@@ -46,13 +47,13 @@ def _(t):
     return R.read_qa(t.spark, path, lines=True)
 
 
-@query("src_stringify", "SELECT conv_id, to_json({'role': role, 'turn': turn}) AS head, to_json([role, 'x']) AS tags, text FROM conversations")
+@query("src_stringify", "SELECT conv_id, CAST(to_json({'role': role, 'turn': turn}) AS VARCHAR) AS head, CAST(to_json([role, 'x']) AS VARCHAR) AS tags, text FROM conversations")
 def _(t):
     nested = t.conversations.select("conv_id", F.struct("role", "turn").alias("head"), F.array("role", F.lit("x")).alias("tags"), "text")
     return R.stringify_nested(nested)
 
 
-@query("src_keyed_explode", "SELECT 'file' || o_custkey || '.csv' AS file, o_orderpriority AS question, CAST(o_orderkey AS VARCHAR) AS answer, o_orderstatus AS title FROM orders WHERE o_custkey % 4 <> 1")
+@query("src_keyed_explode", "SELECT 'file' || o_custkey || '.csv' AS file, o_orderpriority AS question, CAST(o_orderkey AS VARCHAR) AS answer, o_orderstatus AS title FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal >= 0")
 def _(t):
     path = scratch_path(t.spark, "keyed")
     one = F.struct(F.col("o_orderpriority").alias("Question name"), F.col("o_orderkey").cast("string").alias("Answer"), F.col("o_orderstatus").alias("Tittle"))
@@ -61,7 +62,7 @@ def _(t):
     part = F.floor(F.col("o_orderkey") / ROWS_PER_FILE).alias("part")
     keyed = t.orders.groupBy(name.alias("file"), part).agg(F.collect_list(one).alias("qs"))
     keyed.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("file", "qs")))).alias("value")).write.partitionBy("part").text(path)
-    files = t.orders.filter("o_custkey % 4 <> 1").select(name.alias("file"))
+    files = t.customer.filter("c_acctbal >= 0").select(F.concat(F.lit("file"), F.col("c_custkey").cast("string"), F.lit(".csv")).alias("file"))
     return R.read_keyed_questions(t.spark, path, files)
 
 
@@ -101,11 +102,15 @@ def _(t):
     return back.withColumn("answer", F.coalesce("answer", F.lit("")))
 
 
-@query("catalog_text")
+_DATABASES = {"shop": ["customer", "orders", "lineitem"], "stock": ["part", "supplier"]}
+_ASKED = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'shop' WHEN 1 THEN 'stock' ELSE 'gone' END AS db_id FROM documents"
+_CONTEXTS = ", ".join(f"('{db}', '{chr(10).join(catalog.table_ddl(n) for n in names)}')" for db, names in _DATABASES.items())
+
+
+@query("catalog_text", f"SELECT doc_id, a.db_id, context FROM ({_ASKED}) a LEFT JOIN (VALUES {_CONTEXTS}) c(db_id, context) ON c.db_id = a.db_id")
 def _(t):
-    catalogs = catalog.catalog_text(t.spark, {"shop": ["customer", "orders", "lineitem"], "stock": ["part", "supplier"], "gone": []})
-    asked = t.documents.select("doc_id", F.element_at(F.array(F.lit("shop"), F.lit("stock"), F.lit("gone")), (F.col("doc_id") % 3 + 1).cast("int")).alias("db_id"))
-    return asked.join(catalogs.filter(F.col("context").isNotNull()), "db_id").select("doc_id", "db_id", "context")
+    catalogs = catalog.catalog_text(t.spark, {**_DATABASES, "gone": []})
+    return attach_context(t.sql(_ASKED), catalogs).select("doc_id", "db_id", "context")
 
 
 def _sample_block(name: str, order: str) -> str:

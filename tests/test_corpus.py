@@ -76,3 +76,16 @@ def test_repeat_sample(spark):
     assert A.repeat_sample(keys, "pair_id", n=1000, iterations=2).count() == 600
     again = A.repeat_sample(keys, "pair_id", n=400, iterations=2, replace=True).collect()
     assert len(again) == 800 and {r["pair_id"] for r in again} <= set(range(300))
+
+
+def test_cuts_in_large_buckets(spark, monkeypatch):
+    """Buckets above the limit are searched by longer prefixes; the cut is the same."""
+    from querygauge.operators import ranking as R
+
+    df = frame(spark, 20_000)
+    at = {"a": lambda n: 1, "b": lambda n: n // 2, "c": lambda n: n, "d": lambda n: 0, "e": lambda n: n + 5}
+    want = order(range(20_000))
+    for limit in (2_000_000, 2):
+        monkeypatch.setattr(R, "SORTED_ROWS", limit)
+        cuts = R.find_cuts(df, "id", at)
+        assert {k: v and v[1] for k, v in cuts.items()} == {"a": want[0], "b": want[9_999], "c": want[-1], "d": None, "e": want[-1]}
