@@ -53,7 +53,7 @@ def _(t):
     return T.sql_answerable(t.spark, _examples(t))
 
 
-_CYPHER = f"""SELECT pair_id, 'q ' || CAST(pair_id % 4000 AS STRING) AS question, gold, '<think> so </think>```cypher ' || pred || ' ```' AS response,
+_CYPHER = f"""SELECT pair_id, 'q ' || CAST(pair_id AS STRING) AS question, gold, '<think> so </think>```cypher ' || pred || ' ```' AS response,
   CASE pair_id % 3 WHEN 0 THEN 'Correct' WHEN 1 THEN 'CORRECT' ELSE 'Wrong' END AS verdict FROM ({fx.CYPHER_PAIRS}) c"""
 _SEEN = "SELECT 'q ' || CAST(c_custkey AS STRING) AS question FROM customer"
 _CYPHER_TEST = f"""SELECT pair_id, lower(gold) AS gold, lower(upper({sql_block('lower(response)', 'cypher', q(' '))})) AS pred, CAST(lower(verdict) = 'correct' AS INT) AS verdict FROM (
@@ -128,7 +128,7 @@ def _(t):
 
 def _corpus(pairs: str, kind: str) -> str:
     """Corpus with an answer for every example; the answer is the predicted text."""
-    return f"""SELECT '{kind}:' || CAST(pair_id AS STRING) AS example_id, 'q ' || CAST(pair_id % 4000 AS STRING) AS question, 'tables of ' || CAST(pair_id AS STRING) AS context,
+    return f"""SELECT '{kind}:' || CAST(pair_id AS STRING) AS example_id, 'q ' || CAST(pair_id AS STRING) AS question, 'tables of ' || CAST(pair_id AS STRING) AS context,
       pred AS answer, '<thinking>' || gold || '</thinking>' AS thinking FROM ({pairs}) p WHERE pred <> ''{" AND pred <> 'MATCH (o:Order) RETURN o.total'" if kind == "cypher" else ""}"""
 
 
