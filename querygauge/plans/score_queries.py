@@ -90,7 +90,7 @@ def _(t):
     return answer_scores(t.sql(fx.ANSWERS)).select("pair_id", *METRICS[2:])
 
 
-@query("a_mean_scores", f"SELECT metric, round(avg(value), 3) AS value FROM ({fx.EVENT_SCORES}) GROUP BY metric")
+@query("a_mean_scores", f"SELECT metric, CAST(round(CAST(avg(value) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value FROM ({fx.EVENT_SCORES}) GROUP BY metric")
 def _(t):
     return A.mean_scores(t.sql(fx.EVENT_SCORES))
 
@@ -108,7 +108,7 @@ def sql_f1(means: str, by: str) -> str:
 
 @query(
     "a_f1",
-    f"""WITH m AS (SELECT 0 AS g, metric, round(avg(value), 3) AS value FROM ({sql_long(SQL_ANSWER_SCORES, METRICS)}) GROUP BY metric)
+    f"""WITH m AS (SELECT 0 AS g, metric, CAST(round(CAST(avg(value) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value FROM ({sql_long(SQL_ANSWER_SCORES, METRICS)}) GROUP BY metric)
       SELECT metric, value FROM ({sql_f1('m', 'g')})""",
 )
 def _(t):
@@ -132,7 +132,7 @@ def _(t):
 
 @query(
     "a_sample_stats",
-    f"""WITH m AS (SELECT iteration, metric, round(avg(value), 3) AS value FROM ({fx.EVENT_SCORES}) s JOIN ({sql_draws('SELECT event_id AS pair_id FROM events')}) d
+    f"""WITH m AS (SELECT iteration, metric, CAST(round(CAST(avg(value) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value FROM ({fx.EVENT_SCORES}) s JOIN ({sql_draws('SELECT event_id AS pair_id FROM events')}) d
         ON d.pair_id = s.pair_id GROUP BY ALL)
       SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.025), 6) AS ci_lower, round(quantile_cont(value, 0.975), 6) AS ci_upper
       FROM m GROUP BY metric""",
@@ -177,7 +177,7 @@ def answer_report(t: Tables) -> DataFrame:
 _REPORT = f"""WITH wide AS ({SQL_ANSWER_SCORES}),
   s AS ({sql_long('SELECT * FROM wide', METRICS)} UNION ALL SELECT pair_id, 'bleu', CAST(bleu AS DOUBLE) FROM ({sql_bleu("SELECT pair_id, gold, final AS pred FROM (" + SQL_ANSWER_SCORES + ")")})),
   d AS ({sql_draws('SELECT o_orderkey AS pair_id FROM orders')} UNION ALL SELECT -1, o_orderkey FROM orders),
-  m AS (SELECT iteration, metric, round(avg(value), 3) AS value FROM s JOIN d ON d.pair_id = s.pair_id GROUP BY ALL),
+  m AS (SELECT iteration, metric, CAST(round(CAST(avg(value) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value FROM s JOIN d ON d.pair_id = s.pair_id GROUP BY ALL),
   a AS (SELECT * FROM m UNION ALL {sql_f1('m', 'iteration')})
   SELECT 'answers' AS task, metric, max(value) FILTER (iteration < 0) AS score, round(avg(value) FILTER (iteration >= 0), 6) AS mean,
     round(stddev_pop(value) FILTER (iteration >= 0), 6) AS std, round(quantile_cont(value, 0.025) FILTER (iteration >= 0), 6) AS ci_lower,
@@ -203,7 +203,7 @@ def event_stream(t: Tables) -> DataFrame:
 
 
 _EVENT_MEANS = """SELECT 0 AS g, CASE event_type WHEN 'click' THEN 'precision_ans' WHEN 'view' THEN 'recall_ans' ELSE event_type END AS metric,
-  round(avg(value), 3) AS value, count(value) AS n FROM events GROUP BY event_type"""
+  CAST(round(CAST(avg(value) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value, count(value) AS n FROM events GROUP BY event_type"""
 
 
 @query("z_running_scores", f"WITH m AS ({_EVENT_MEANS}) SELECT metric, value, n FROM m UNION ALL SELECT metric, value, NULL FROM ({sql_f1('m', 'g')})")
@@ -216,7 +216,7 @@ def _(t):
 @query(
     "z_iteration_progress",
     """SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM (
-      SELECT event_id % 5 AS i, CASE event_type WHEN 'click' THEN 'precision_ans' WHEN 'view' THEN 'recall_ans' ELSE event_type END AS metric, round(avg(value), 3) AS value
+      SELECT event_id % 5 AS i, CASE event_type WHEN 'click' THEN 'precision_ans' WHEN 'view' THEN 'recall_ans' ELSE event_type END AS metric, CAST(round(CAST(avg(value) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value
       FROM events GROUP BY ALL) GROUP BY metric""",
 )
 def _(t):

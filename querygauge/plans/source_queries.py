@@ -142,7 +142,7 @@ def _(t):
     return out.groupBy("part", "m.role", "m.content").agg(F.count("*").alias("n"))
 
 
-@query("sink_result", "SELECT 'model' AS model, metric, value, '0.5' AS arg FROM (SELECT event_type AS metric, round(avg(value), 3) AS value FROM events GROUP BY 1), (SELECT unnest([1, 2]) AS run)")
+@query("sink_result", "SELECT 'model' AS model, metric, value, '0.5' AS arg FROM (SELECT event_type AS metric, CAST(round(CAST(avg(value) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value FROM events GROUP BY 1), (SELECT unnest([1, 2]) AS run)")
 def _(t):
     path = scratch_path(t.spark, "results")
     means = A.mean_scores(t.sql(fx.EVENT_SCORES))

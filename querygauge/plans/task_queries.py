@@ -31,7 +31,7 @@ def _pair_values() -> str:
     "t_sql_match",
     f"""WITH r AS (SELECT pair_id, set_equal FROM ({ex._REPORT}) WHERE gold_status = 'ok' AND gold_rows > 0),
       e AS (SELECT i, {sql_exact('g_', 'p_')} AS exact FROM (SELECT i, {sql_normalise('g')} AS g_, {sql_normalise('p')} AS p_ FROM (VALUES {_pair_values()}) v(i, g, p)))
-      SELECT 'execution_accuracy' AS metric, round(avg(set_equal), 3) AS value FROM r UNION ALL SELECT 'exact_match', round(avg(exact), 3) FROM r JOIN e ON e.i = r.pair_id""",
+      SELECT 'execution_accuracy' AS metric, CAST(round(CAST(avg(set_equal) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value FROM r UNION ALL SELECT 'exact_match', CAST(round(CAST(avg(exact) AS DECIMAL(18, 9)), 3) AS DOUBLE) FROM r JOIN e ON e.i = r.pair_id""",
 )
 def _(t):
     return T.sql_match(t.spark, _examples(t))
@@ -46,7 +46,7 @@ _CLINICAL = f"""SELECT pair_id, top_equal AS accuracy, char_equal AS acc2, CASE
 
 @query(
     "t_sql_answerable",
-    f"""WITH w AS ({_CLINICAL}), m AS (SELECT 0 AS g, metric, round(avg(value), 3) AS value FROM ({sql_long('SELECT * FROM w', _CLINICAL_METRICS)}) GROUP BY metric)
+    f"""WITH w AS ({_CLINICAL}), m AS (SELECT 0 AS g, metric, CAST(round(CAST(avg(value) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value FROM ({sql_long('SELECT * FROM w', _CLINICAL_METRICS)}) GROUP BY metric)
       SELECT metric, value FROM m UNION ALL SELECT metric, value FROM ({sql_f1('m', 'g')})""",
 )
 def _(t):
@@ -62,9 +62,9 @@ _CYPHER_TEST = f"""SELECT pair_id, lower(gold) AS gold, lower(upper({sql_block('
 
 @query(
     "t_cypher_text",
-    f"""SELECT 'bleu' AS metric, round(avg(bleu), 3) AS value FROM ({sql_bleu(_CYPHER_TEST)})
-      UNION ALL SELECT 'verdict', round(avg(verdict), 3) FROM ({_CYPHER_TEST})
-      UNION ALL SELECT 'exact_match', round(avg({sql_exact('g_', 'p_')}), 3) FROM (SELECT {sql_normalise('gold')} AS g_, {sql_normalise('pred')} AS p_ FROM ({_CYPHER_TEST}))""",
+    f"""SELECT 'bleu' AS metric, CAST(round(CAST(avg(bleu) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value FROM ({sql_bleu(_CYPHER_TEST)})
+      UNION ALL SELECT 'verdict', CAST(round(CAST(avg(verdict) AS DECIMAL(18, 9)), 3) AS DOUBLE) FROM ({_CYPHER_TEST})
+      UNION ALL SELECT 'exact_match', CAST(round(CAST(avg({sql_exact('g_', 'p_')}) AS DECIMAL(18, 9)), 3) AS DOUBLE) FROM (SELECT {sql_normalise('gold')} AS g_, {sql_normalise('pred')} AS p_ FROM ({_CYPHER_TEST}))""",
 )
 def _(t):
     return T.cypher_text(t.sql(_CYPHER), t.sql(_SEEN))
@@ -72,7 +72,7 @@ def _(t):
 
 @query(
     "t_table_qa",
-    f"""WITH m AS (SELECT 0 AS g, metric, round(avg(value), 3) AS value FROM ({sql_long(SQL_ANSWER_SCORES, METRICS)}) GROUP BY metric)
+    f"""WITH m AS (SELECT 0 AS g, metric, CAST(round(CAST(avg(value) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value FROM ({sql_long(SQL_ANSWER_SCORES, METRICS)}) GROUP BY metric)
       SELECT metric, value FROM m UNION ALL SELECT metric, value FROM ({sql_f1('m', 'g')})""",
 )
 def _(t):
@@ -88,8 +88,8 @@ _FACT_PAIRS = f"""SELECT pair_id, coalesce(nullif(regexp_extract(gold, '\\d+\\.\
 
 @query(
     "t_fact_check",
-    f"""SELECT 'exact_match' AS metric, round(avg({sql_exact('g_', 'p_')}), 3) AS value FROM (SELECT {sql_normalise('gold')} AS g_, {sql_normalise('pred')} AS p_ FROM ({_FACT_PAIRS}))
-      UNION ALL SELECT 'rouge', round(avg(CASE WHEN len(pw) = 0 OR lcs = 0 THEN 0.0 ELSE 2.0 * lcs / (len(gw) + len(pw)) END), 3) FROM (
+    f"""SELECT 'exact_match' AS metric, CAST(round(CAST(avg({sql_exact('g_', 'p_')}) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value FROM (SELECT {sql_normalise('gold')} AS g_, {sql_normalise('pred')} AS p_ FROM ({_FACT_PAIRS}))
+      UNION ALL SELECT 'rouge', CAST(round(CAST(avg(CASE WHEN len(pw) = 0 OR lcs = 0 THEN 0.0 ELSE 2.0 * lcs / (len(gw) + len(pw)) END) AS DECIMAL(18, 9)), 3) AS DOUBLE) FROM (
         SELECT gw, pw, CASE WHEN len(pw) = 0 OR len(gw) = 0 THEN 0 ELSE CAST({_LCS} AS INT) END AS lcs FROM (
           SELECT {sql_words('lower(gold)')} AS gw, {sql_words('lower(pred)')} AS pw FROM ({_FACT_PAIRS})))""",
 )
@@ -102,7 +102,7 @@ _YES = f"SELECT pair_id, CASE WHEN gold LIKE '%e%' THEN 'True' WHEN gold LIKE '%
 
 @query(
     "t_triple_qa",
-    f"""SELECT 'exact_match' AS metric, round(avg({sql_exact('g_', 'p_')}), 3) AS value FROM (SELECT {sql_normalise('gold')} AS g_, {sql_normalise('answer')} AS p_ FROM (
+    f"""SELECT 'exact_match' AS metric, CAST(round(CAST(avg({sql_exact('g_', 'p_')}) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value FROM (SELECT {sql_normalise('gold')} AS g_, {sql_normalise('answer')} AS p_ FROM (
       SELECT gold, CASE lower(replace(tail, ' ', '')) WHEN 'yes' THEN 'True' WHEN 'no' THEN 'False' ELSE tail END AS answer FROM (
         SELECT gold, lower(string_split(response, 'Final Answer:')[-1]) AS tail FROM ({_YES}))))""",
 )
@@ -117,7 +117,7 @@ _FOUND = " ".join(f"WHEN lower(language) = {q(k)} THEN {sql_block('lower(respons
 @query(
     "t_multi_language",
     f"""WITH w AS (SELECT language, CAST(verdict = 'correct' AS INT) AS v, CAST((CASE {_FOUND} ELSE ' ' END) <> ' ' AS INT) AS f FROM ({_LANGUAGES}))
-      SELECT language, 'verdict' AS metric, round(avg(v), 3) AS value FROM w GROUP BY 1 UNION ALL SELECT language, 'found', round(avg(f), 3) FROM w GROUP BY 1""",
+      SELECT language, 'verdict' AS metric, CAST(round(CAST(avg(v) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS value FROM w GROUP BY 1 UNION ALL SELECT language, 'found', CAST(round(CAST(avg(f) AS DECIMAL(18, 9)), 3) AS DOUBLE) FROM w GROUP BY 1""",
 )
 def _(t):
     return T.multi_language(t.sql(_LANGUAGES))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from querygauge.operators.aggregate import f1_from_means, sample_statistics
+from querygauge.operators.aggregate import f1_from_means, rounded_mean, sample_statistics
 
 
 def _start(aggregated: DataFrame, write, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -19,7 +19,7 @@ def running_scores(stream: DataFrame, out: str, checkpoint: str, available_now:
     State is one running mean per metric, whatever the length of the stream; partial means are formed
     before the shuffle, so a metric that holds most rows is no hot spot.
     """
-    means = stream.groupBy("metric").agg(F.round(F.avg("value"), 3).alias("value"), F.count("value").alias("n"))
+    means = stream.groupBy("metric").agg(rounded_mean("value").alias("value"), F.count("value").alias("n"))
 
     def write(batch: DataFrame, _: int) -> None:
         f1 = f1_from_means(batch).withColumn("n", F.lit(None).cast("bigint"))
@@ -33,7 +33,7 @@ def iteration_progress(stream: DataFrame, out: str, checkpoint: str, available_n
 
     State is one mean per (iteration, metric); the statistics are made from those few rows per batch.
     """
-    means = stream.groupBy("iteration", "metric").agg(F.round(F.avg("value"), 3).alias("value"))
+    means = stream.groupBy("iteration", "metric").agg(rounded_mean("value").alias("value"))
 
     def write(batch: DataFrame, _: int) -> None:
         sample_statistics(batch).select("metric", "mean", "std").write.mode("overwrite").parquet(out)
