@@ -74,6 +74,15 @@ def words_of(column: pa.Array, table: bytes) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate([[0], np.cumsum(real)])[ends], flat.filter(pa.array(real))
 
 
+def letter_words(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """First word of each text (one more than there are texts) and the words of letters, lower case."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(column, "").cast(pa.large_string())), r"[^\p{L}]+")
+    flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(real)])
+    return before[ends], flat.filter(pa.array(real))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit mixer (two multiply-xorshift rounds) over an array."""
     x = x.astype(np.uint64, copy=True)

@@ -16,11 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from querygauge.llm.common import slices
+from querygauge.llm.common import letter_words, slices
 
 UNKNOWN = "und"
 LONGEST_PIECE = 8  # longer pieces of the vocabulary are not used
@@ -137,15 +136,6 @@ def expected_counts(words: list[str], weight: np.ndarray, column: int, model: Mo
     return out
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """First word of each text (one more than there are texts) and the words of letters, lower case."""
-    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(column, "").cast(pa.large_string())), r"[^\p{L}]+")
-    flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    before = np.concatenate([[0], np.cumsum(real)])
-    return before[ends], flat.filter(pa.array(real))
-
-
 def train(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, rounds: int = 3) -> Model:
     """Piece probabilities from rows of ``docs`` with a text and a language.
 
@@ -220,7 +210,7 @@ def identify(column: pa.Array, model: Model, tag: str = "") -> pa.StructArray:
     """``lang`` and ``score`` (posterior probability of it) of each text of an Arrow column."""
     best, scores = np.full(len(column), -1), np.zeros(len(column))
     for at, part in slices(column):
-        first, words = _words(part)
+        first, words = letter_words(part)
         if not len(words) or not model.languages:
             continue
         coded = words.dictionary_encode()
