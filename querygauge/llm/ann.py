@@ -156,7 +156,7 @@ def search(graph: DataFrame, members: DataFrame, queries: DataFrame, k: int = 5,
     # the stated query set meets every shard, in blocks
     of_dim = vectors.select("q", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"))
     left = of_dim.join(sized, "dim").select("shard", "block", "q", "v")
-    right = graph.select(F.col("shard").alias("of_shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("of_block"), "c", "v", "edges", "start")
+    right = graph.select(F.col("shard").alias("of_shard"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("of_block"), "c", "v", "edges", "start")
     want = k + 1
 
     def run(asking: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
