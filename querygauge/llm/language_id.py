@@ -3,7 +3,7 @@
 Every language has a probability for each piece of one fixed public vocabulary. The probability of a word
 is the sum over all ways to cut it into pieces (forward algorithm); a text's is the product over its words.
 Piece probabilities are learned by expectation maximisation on a bounded sample of labelled documents
-(``per_language`` documents of each language, those with the smallest hash); one Spark job per round.
+(about ``per_language`` documents of each language, those whose hash is below its share); one Spark job per round.
 
 Defined results: a text that is null, or has no letter, is ``und`` with score 0; so is every text where no
 language could be learned. Repeated rows are scored alike. Ties go to the smaller language value. Every
@@ -17,7 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from querygauge.llm.common import letter_words, slices
 
@@ -139,15 +138,13 @@ def expected_counts(words: list[str], weight: np.ndarray, column: int, model: Mo
 def train(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, rounds: int = 3) -> Model:
     """Piece probabilities from rows of ``docs`` with a text and a language.
 
-    The sample is ``per_language`` rows a language with the smallest hash of the id; only word counts of it
-    and one number for each piece and language reach the driver."""
+    The sample is about ``per_language`` rows a language, chosen by the hash of the id; one number for each piece and
+    language reaches the driver."""
     spark = docs.sparkSession
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    marked = known.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    ids = marked.distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("i", "l")
-    rows = known.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
-    sample = rows.join(F.broadcast(ids), ["i", "l"], "left_semi")  # at most per_language rows a language
+    rows = known.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
+    shares = rows.groupBy("l").agg((F.lit(per_language) / F.count("*")).alias("share"))
+    sample = rows.join(F.broadcast(shares), "l").filter(F.pmod("h", F.lit(1 << 40)) < F.col("share") * (1 << 40))  # broadcast: one row per language
     counts = sample.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).filter("w <> ''").groupBy("l", "w").count().coalesce(8).cache()
     langs = tuple(r["l"] for r in counts.select("l").distinct().orderBy("l").collect())
     if not langs:

@@ -4,8 +4,8 @@ Voters are words of a public lexicon, text patterns, and stems: words and word b
 far more often than other labelled rows (counted over all labelled rows). A generative label model (naive Bayes with
 a fire rate of every voter in each class, fitted by expectation maximisation) gives every sampled row a posterior; a voter's
 evidence is divided by how strongly it is correlated, within a class, with others, so that near copies of one voter do
-not count many times. The known label is one more voter of fixed accuracy. A logistic regression on what voters say is
-trained on the posteriors and scores whole texts.
+not count many times. The known label is one more voter of fixed accuracy. A logistic regression on what voters say, and
+on how many strong voters speak (none, one, two, more), is trained on the posteriors and scores whole texts.
 
 Label model and regression are fitted on a bounded sample (``MOST_ROWS`` labelled rows with the smallest hash of the
 id); their voters' votes, not their texts, reach the driver. Everything else covers all rows.
@@ -28,18 +28,23 @@ from querygauge.llm.common import letter_words, slices, text_or_empty
 #: A public lexicon, and patterns (RE2) over the whole text.
 LEXICON = tuple("idiot idiots moron morons stupid dumb loser losers pathetic worthless scum trash clown disgusting fool jerk creep freak filth vermin garbage hate kill idiota imbécile connard débile dummkopf arschloch trottel estúpido imbécil tonto basura".split())
 PATTERNS = (r"(?i)\byou(?:'re| are) (?:an? |so |such |all )", r"[!?]{3,}", r"\b\p{Lu}{5,}\b", r"(?i)\bshut up\b", r"(?i)\bgo (?:to hell|away|die)\b", r"[*#@$%]{3,}")
-STEM_SIZES = (4, 5)  # letters of word beginnings that may become voters
-MOST_STEMS = 400
+STEM_SIZES = (4, 5, 6, 7)  # letters of word beginnings that may become voters
+MOST_STEMS = 500
 MOST_ROWS = 8_000
-LABEL_TRUST = 0.97  # how often a given label is taken to be right
+STRONG = 20.0  # how many times likelier a voter fires on toxic rows, by the label model, to be a strong one
+LABEL_TRUST = 0.998  # how often a given label is taken to be right
+MOST_EVIDENCE = 4.0  # log odds that all votes on a row may add up to, so that a label still counts
 
 
 @dataclass(frozen=True)
 class Model:
-    """Words (lexicon and stems, by size; 0 is a whole word), weights of word voters, patterns, and how much; bias."""
+    """Words (lexicon and stems, by size; 0 is a whole word) and their voters; weights of voters (patterns last) and of
+    having one, two and three strong voters; which voters are strong; bias."""
 
     stems: dict[tuple[int, str], int]
     weights: np.ndarray
+    steps: np.ndarray
+    strong: np.ndarray
     bias: float
 
 
@@ -97,13 +102,15 @@ def votes(column: pa.Array, stems: dict[tuple[int, str], int], tag: str = "") ->
     return out
 
 
-def label_model(said: np.ndarray, labels: np.ndarray, rounds: int = 15) -> np.ndarray:
-    """Posterior of class 1 of each row, from votes (rows x voters, 0/1) and labels (1, 0, or -1 where unknown)."""
+def label_model(said: np.ndarray, labels: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior of class 1 of each row, strength of each voter: its fire rates' ratio), from votes (rows x voters, 0/1) and labels (1, 0, or -1 where unknown)."""
     said = said.astype(np.float64)
     trust = np.where(labels == 1, LABEL_TRUST, np.where(labels == 0, 1 - LABEL_TRUST, 0.5))
     q = np.where(labels >= 0, trust, np.clip(said.mean(axis=1) * 2, 0.05, 0.95))
     prior_label = np.log(trust / (1 - trust))
     for _ in range(rounds):
+        # labels hold the classes in place: half of a labelled row's weight is the label's
+        q = np.where(labels >= 0, (q + trust) / 2, q)
         prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
         rate = [(w @ said + 0.5) / (w.sum() + 5) for w in (1 - q, q)]
         spread = np.zeros(said.shape[1])
@@ -114,9 +121,16 @@ def label_model(said: np.ndarray, labels: np.ndarray, rounds: int = 15) -> np.nd
             spread = np.maximum(spread, np.where(rho > 0.3, rho, 0).sum(axis=1))
         share = 1 / np.maximum(spread, 1)
         fires, silent = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        logit = np.log(prior / (1 - prior)) + said @ (share * fires) + (1 - said) @ (share * silent) + prior_label
+        evidence = said @ (share * fires) + (1 - said) @ (share * silent)
+        logit = np.log(prior / (1 - prior)) + np.clip(evidence, -MOST_EVIDENCE, MOST_EVIDENCE) + prior_label
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return q
+    return q, rate[1] / rate[0]
+
+
+def steps_of(said: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """Whether one, two and three strong voters speak, of each row."""
+    many = (said[:, strong] > 0).sum(axis=1)
+    return (many[:, None] >= np.arange(1, 4)).astype(np.float64)
 
 
 def linear(said: np.ndarray, target: np.ndarray, ridge: float = 0.5, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -143,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for s in [*[(0, w) for w in LEXICON], *(pick_stems(stem_counts(texts), toxic, other) if toxic else [])]:
         stems.setdefault(s, len(stems))
     if not toxic or not other:
-        return Model(stems, np.zeros(len(stems) + len(PATTERNS)), 30.0 if toxic else -30.0)
+        none = np.zeros(len(stems) + len(PATTERNS))
+        return Model(stems, none, np.zeros(3), none > 0, 30.0 if toxic else -30.0)
     share = min(1.0, most_rows / (toxic + other))
     sample = texts.filter(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(share * 1_000_000))  # about most_rows rows
     shared = spark.sparkContext.broadcast(stems)
@@ -166,8 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     given = np.zeros(len(row), np.int64)
     for x in targets:
         given[row[x["r"]]] = x["toxic"]
-    weights, bias = linear(said, label_model(said, given))
-    return Model(stems, weights, bias)
+    posterior, strength = label_model(said, given)
+    strong = strength >= STRONG
+    weights, bias = linear(np.hstack([said, steps_of(said, strong)]), posterior)
+    return Model(stems, weights[:-3], weights[-3:], strong, bias)
 
 
 def score(docs: DataFrame, text: Column, model: Model) -> Column:
@@ -182,6 +199,8 @@ def score(docs: DataFrame, text: Column, model: Model) -> Column:
         total = np.full(len(column), m.bias)
         for at, rows, voters in votes(column, m.stems, tag):
             np.add.at(total, at + rows, m.weights[voters])
+            many = np.bincount(at + rows, m.strong[voters], len(column)).astype(np.int64)
+            total += np.concatenate([[0], np.cumsum(m.steps)])[np.minimum(many, 3)]
         return pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
     return of(text.cast("string"))
