@@ -18,14 +18,15 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from querygauge.llm.common import BLANKS, slices, words_of
+from querygauge.llm.common import BLANKS, LOWER, slices, utf8_bytes, words_of
 
 WINDOW = 2048
 END = 1
@@ -67,48 +68,84 @@ def best_cuts(position: np.ndarray, penalty: np.ndarray, window: int = WINDOW, l
     return ends[::-1]
 
 
+JOINED = 64
+STOPS = {".", "!", "?"}
+_MARK = np.isin(np.arange(256), [ord(c) for c in ".,!?;:"])
+_PLAIN = np.isin(np.arange(256), [ord(c) for c in "0123456789abcdefghijklmnopqrstuvwxyz"])
+_LOWER = np.frombuffer(LOWER, np.uint8)
+
+
+def _marks_apart(column: pa.Array) -> pa.LargeStringArray:
+    """Texts with A-Z lowered and a space between an ASCII letter or digit and a mark behind it.
+
+    The tokenizer lowers texts itself and always parts letters and digits from marks, so ids stay the same while there are
+    fewer distinct words. Texts that may hold a special token are not lowered: those are told apart by case."""
+    starts, data = utf8_bytes(column)
+    if b"<|" not in data.tobytes():
+        data = _LOWER[data]
+    before = np.concatenate([[False], _PLAIN[data[:-1]]]) if len(data) else np.zeros(0, bool)
+    before[starts[:-1][starts[:-1] < len(data)]] = False
+    places = np.flatnonzero(_MARK[data] & before)
+    wide, moved = np.insert(data, places, 32), starts + np.searchsorted(places, starts, side="left")
+    return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(np.ascontiguousarray(moved)), pa.py_buffer(np.ascontiguousarray(wide)))
+
+
 class Tokens:
     """Ids of texts by a tokenizer whose pieces never cross white space; each distinct word is encoded once.
 
     Encoded words are kept while there are fewer than ``most``."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a piece
+        for token, i in vocabulary.items():
+            self.last[i] = token.endswith("</w>")
         self._clear()
 
     def _clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.ids, self.end, self.used, self.stop = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, np.zeros(1 << 16, bool)
+        self.ids, self.end, self.stop = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.row]
+    def _learn(self, units: list[str]) -> None:
+        new = [u for u in units if u not in self.row]
         if not new:
             return
+        letters, rest = [u for u in new if u.isalpha()], [u for u in new if not u.isalpha()]
+        order, ids, sizes = [], [], []
+        for at in range(0, len(letters), 5000):  # units of letters are one piece each and go together, parted by spaces
+            groups = [letters[k : k + JOINED] for k in range(at, min(at + 5000, len(letters)), JOINED)]
+            for own, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+                found = np.array(e.ids, np.uint32)
+                ends = np.flatnonzero(self.last[found])
+                if len(ends) == len(own):
+                    order += own
+                    ids.append(found)
+                    sizes.append(np.diff(ends, prepend=-1))
+                else:
+                    rest += own
+        for at in range(0, len(rest), 5000):
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(rest[at : at + 5000], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(lists), np.uint32))
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        order += rest
         first = len(self.row)
-        self.row.update(zip(new, range(first, first + len(new))))
-        while len(self.row) + 1 > len(self.end):
-            self.end, self.stop = np.concatenate([self.end, np.zeros_like(self.end)]), np.concatenate([self.stop, np.zeros_like(self.stop)])
-        for at in range(0, len(new), 5000):
-            for k, (w, e) in enumerate(zip(new[at : at + 5000], self.tokenizer.encode_batch_fast(new[at : at + 5000], add_special_tokens=False)), first + at):
-                ids = e.ids
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.end[k + 1] = self.used
-                self.stop[k] = w.endswith((".", "!", "?"))
+        self.row.update(zip(order, range(first, first + len(order))))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(np.concatenate(sizes))])
+        self.stop = np.concatenate([self.stop, np.fromiter((u[-1:] in STOPS or u[:1] in STOPS for u in order), bool, len(order))])
 
     def documents(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids with the end id, ends of sentences) of each text."""
         for _, part in slices(column):
             if len(self.row) > self.most:
                 self._clear()
-            ends, flat = words_of(part, BLANKS)
+            ends, flat = words_of(_marks_apart(part), BLANKS)
             coded = flat.dictionary_encode()
             words = coded.dictionary.to_pylist()
             self._learn(words)
@@ -122,20 +159,33 @@ class Tokens:
                 yield np.append(ids[upto[a] : upto[b]], np.uint32(END)), own
 
 
+_TOKENS: dict[str, Tokens] = {}  # of this worker: tasks that follow each other share what was encoded
+
+
+def _tokens(path: str) -> Tokens:
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
+
+
 def _places(lengths: list[int], stops: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Places where a stream of documents may be cut, and what a cut there costs."""
     at, kind, ahead = [np.zeros(1, np.int64)], [np.zeros(1)], 0
     for n, own in zip(lengths, stops):
-        inner = np.unique(own[(own > 0) & (own < n - 1)])
+        inner = own[(own > 0) & (own < n - 1)]
+        if len(inner) > 1:
+            inner = inner[np.append(True, inner[1:] > inner[:-1])]
         bounds = np.concatenate([[0], inner, [n]])
         gaps = np.diff(bounds)
         if (gaps > UNIT).any():
             more = np.concatenate([np.arange(a + UNIT, b, UNIT) for a, b in zip(bounds[:-1][gaps > UNIT], bounds[1:][gaps > UNIT])])
-            every = np.unique(np.concatenate([inner, more]))
+            every = np.concatenate([inner, more])
+            order = np.argsort(every, kind="stable")
+            every, cost = every[order], np.where(order < len(inner), SENTENCE_CUT, INNER_CUT)
         else:
-            every = inner
+            every, cost = inner, np.full(len(inner), SENTENCE_CUT)
         at += [every + ahead, np.array([ahead + n])]
-        kind += [np.where(np.isin(every, inner), SENTENCE_CUT, INNER_CUT), np.zeros(1)]
+        kind += [cost, np.zeros(1)]
         ahead += n
     return np.concatenate(at), np.concatenate(kind)
 
@@ -190,7 +240,7 @@ def pack(docs: DataFrame, tokenizer: str, keys: list[str], text_col: str = "text
     schema = ", ".join(f"`{n}` {t}" for n, t in fields) + ", start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = Tokens(tokenizer), TaskContext.get().partitionId()
+        tokens, part = _tokens(tokenizer), TaskContext.get().partitionId()
         waiting: deque = deque()  # key columns of the batches whose documents are still in the stream
 
         def documents():
