@@ -118,8 +118,8 @@ class Tokens:
             return
         letters, rest = [u for u in new if u.isalpha()], [u for u in new if not u.isalpha()]
         order, ids, sizes = [], [], []
-        for at in range(0, len(letters), 5000):  # units of letters are one piece each and go together, parted by spaces
-            groups = [letters[k : k + JOINED] for k in range(at, min(at + 5000, len(letters)), JOINED)]
+        for at in range(0, len(letters), 80 * JOINED):  # units of letters are one piece each and go together, parted by spaces
+            groups = [letters[k : k + JOINED] for k in range(at, min(at + 80 * JOINED, len(letters)), JOINED)]
             for own, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
                 found = np.array(e.ids, np.uint32)
                 ends = np.flatnonzero(self.last[found])
