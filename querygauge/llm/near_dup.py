@@ -8,8 +8,8 @@ class (64-bit digest of the set); from there on classes are compared, so copies
 2. Longer lists (a passage or word pair many texts share, a large group of near copies) are dealt again by
    runs of three neighbouring retained values and, for small sets, by pairs of values of the prefix that two
    linked sets must share. What is still long then is compared with a few pivots a list; then the classes
-   that the pivots did not join to the list's main component are compared with all others of the list, so
-   nothing is cut off.
+   that the pivots did not join to the list's main component are compared with some of it, and those still outside
+   with all others of the list, so nothing is cut off.
 3. The union-sketch estimate filters pairs; the exact Jaccard of the full sets decides every link.
 4. Links become connected components. A first round of links (each class with its likeliest partner) joins
    most of them; later rounds only look at pairs whose ends are not yet connected.
@@ -37,6 +37,7 @@ from querygauge.session import cut_lineage
 K = 32
 SHORT = 16  # classes of a list that are compared pair by pair
 PIVOTS = 6  # classes of a longer list that all others are compared with first
+HELPERS = 24  # classes of a list's main component that those outside it meet before they meet all
 SMALL = 40  # shingles: below, prefix pairs find every link for sure
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -190,16 +191,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut_lineage(links.union(verified(apart, sets, percent)))
     labels = components(links)
 
-    # classes of long lists that are not in their list's main component meet all others of the list
-    crowd = cut_lineage(labelled(crowd, "c", "label"))
-    main = crowd.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
-    aside = crowd.join(main, "key").filter("label <> main").drop("main")
-    once = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
-    rest = _pairs(aside, crowd.join(main, "key"), "key", percent, once).join(pairs, ["a", "b"], "left_anti")
-    rest = cut_lineage(estimated(rest, classes.select("c", "s"), percent))
-    if not rest.isEmpty():
+    # classes of long lists outside their list's main component meet some of it by hash; then, if still outside, all others
+    met = pairs.select("a", "b")
+    for everyone in (False, True):
+        own = cut_lineage(labelled(crowd, "c", "label"))
+        main = own.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
+        own = own.join(main, "key")
+        aside = own.filter("label <> main")
+        if aside.isEmpty():
+            break
+        some = Window.partitionBy("key").orderBy(F.xxhash64("c"), "c")
+        helpers = own.filter("label = main").withColumn("r", F.row_number().over(some)).filter(F.col("r") <= HELPERS).drop("r")
+        once = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
+        rest = cut_lineage(estimated(_pairs(aside, own if everyone else helpers, "key", percent, once).join(met, ["a", "b"], "left_anti"), classes.select("c", "s"), percent))
         links = cut_lineage(links.union(verified(rest, sets_of(ends(rest)), percent)))
-        labels = components(links)
+        labels, met = components(links), met.union(rest.select("a", "b"))
 
     grouped = labelled(classes.select("c", "least"), "c", "label")
     least = grouped.groupBy("label").agg(F.min("least").alias("component"))
