@@ -21,8 +21,25 @@ REPORT = "pair_id BIGINT, gold_status STRING, pred_status STRING, gold_rows BIGI
 _OUTCOME = ("gold_status", "pred_status", "gold_rows", "set_equal", "top_equal", "char_equal")
 
 
+def require_query(spark: SparkSession, sql: str) -> None:
+    """Raise unless the text is a query: commands (DDL, writes, settings) run as soon as they are given to the session."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    pending = [plan]
+    while pending:
+        node = pending.pop()
+        kinds = node.getClass()
+        while kinds is not None:
+            names = [kinds.getName(), *[i.getName() for i in kinds.getInterfaces()]]
+            if any(n.endswith(("Command", "ParsedStatement", "InsertIntoDir", "CompoundBody")) for n in names):
+                raise ValueError("only queries are run")
+            kinds = kinds.getSuperclass()
+        children = node.children()
+        pending += [children.apply(i) for i in range(children.size())]
+
+
 def run_query(spark: SparkSession, sql: str) -> DataFrame:
-    """Result with columns by position."""
+    """Result of a query with columns by position; any other statement is refused before it can take effect."""
+    require_query(spark, sql)
     df = spark.sql(sql)
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 

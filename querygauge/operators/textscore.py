@@ -16,8 +16,8 @@ _NUMBER = r"^\+?\d+(e\+?\d+)?$|^\+?inf(inity)?$"
 
 
 def exact_match(gold: Column, pred: Column) -> Column:
-    """1 when the normalised answers agree, as numbers if both are numbers."""
-    g, p = normalise_answer(gold), normalise_answer(pred)
+    """1 when the normalised answers agree, as numbers if both are numbers; a missing prediction is an empty one."""
+    g, p = normalise_answer(gold), normalise_answer(F.coalesce(pred, F.lit("")))
     as_number = lambda t: F.replace(F.regexp_replace(t, r"^\+?inf(inity)?$", "Infinity"), F.lit("+"), F.lit("")).try_cast("double")
     numeric = g.rlike(_NUMBER) & p.rlike(_NUMBER)
     nan = r"^\+?nan$"
@@ -25,7 +25,7 @@ def exact_match(gold: Column, pred: Column) -> Column:
 
 
 def contains_match(gold: Column, pred: Column) -> Column:
-    return F.contains(F.lower(pred), F.lower(gold)).cast("int")
+    return F.contains(F.lower(F.coalesce(pred, F.lit(""))), F.lower(gold)).cast("int")
 
 
 # --- longest common subsequence -----------------------------------------------------------------
@@ -128,13 +128,15 @@ def sequence_ratio(gold: Column, pred: Column, pred_first: bool = False) -> Colu
 
 
 def levenshtein_similarity(gold: Column, pred: Column) -> Column:
-    """1 - edit distance / longer length; a near substitute that stays in the JVM."""
+    """1 - edit distance / longer length; a near substitute that stays in the JVM. A missing prediction is empty."""
+    pred = F.coalesce(pred, F.lit(""))
     longer = F.greatest(F.length(gold), F.length(pred))
     return F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(gold, pred) / longer)
 
 
 def similarity_bound(gold: Column, pred: Column) -> Column:
-    """2M/T over character counts: never below the matching-blocks ratio.  Row-local, no explode."""
+    """2M/T over character counts: never below the matching-blocks ratio.  Row-local, no explode. A missing prediction is empty."""
+    pred = F.coalesce(pred, F.lit(""))
     count = lambda t, ch: F.length(t) - F.length(F.replace(t, ch, F.lit("")))
     chars = F.array_distinct(F.split(gold, ""))
     shared = F.aggregate(chars, F.lit(0).cast("bigint"), lambda acc, ch: acc + F.least(count(gold, ch), count(pred, ch)))

@@ -55,3 +55,11 @@ def test_time_limit(spark):
     row = E.compare_all(spark, [(1, "SELECT 1", slow)], E.Limits(seconds=3)).first()
     assert row["pred_status"] == "timeout" and row["set_equal"] == 0
     assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("text", ["DROP VIEW victim", "CREATE OR REPLACE TEMP VIEW victim AS SELECT 2", "INSERT OVERWRITE DIRECTORY '/tmp/never' USING csv SELECT 1", "SET x=1"])
+def test_only_queries_are_run(spark, text):
+    spark.sql("SELECT 1 AS a").createOrReplaceTempView("victim")
+    with pytest.raises(Exception):
+        E.run_query(spark, text)
+    assert [tuple(r) for r in E.run_query(spark, "WITH t AS (SELECT * FROM victim) SELECT a FROM t ORDER BY a").collect()] == [(1,)]

@@ -99,3 +99,10 @@ def test_self_scores(spark):
 def test_map_similarity(spark):
     df = spark.createDataFrame([(1, {"select": "a", "from": "t"}, {"select": "A ", "where": "x"})], "pair_id BIGINT, p MAP<STRING, STRING>, g MAP<STRING, STRING>")
     assert M.map_similarity(df, "pair_id", "p", "g").first()["map_similarity"] == pytest.approx(1 / 3)
+
+
+def test_missing_predictions_score_zero(spark):
+    df = spark.createDataFrame([("a b", None), ("a", "a")], "g string, p string")
+    g, p = F.col("g"), F.col("p")
+    rows = df.select(M.exact_match(g, p), M.contains_match(g, p), M.levenshtein_similarity(g, p), M.similarity_bound(g, p)).collect()
+    assert [tuple(r) for r in rows] == [(0, 0, 0.0, 0.0), (1, 1, 1.0, 1.0)]
