@@ -9,7 +9,8 @@ class (64-bit digest of the set); from there on classes are compared, so copies
    runs of three neighbouring retained values and, for small sets, by pairs of values of the prefix that two
    linked sets must share. What is still long then is compared with a few pivots a list; then the classes
    that the pivots did not join to the list's main component are compared with some of it, and those still outside
-   with all others of the list, so nothing is cut off.
+   with all others of the list that they can reach the threshold with, going by counts of the shingles that are common
+   in such lists and by the rarer ones they share. So nothing is cut off.
 3. The union-sketch estimate filters pairs; the exact Jaccard of the full sets decides every link.
 4. Links become connected components. A first round of links (each class with its likeliest partner) joins
    most of them; later rounds only look at pairs whose ends are not yet connected.
@@ -135,6 +136,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct()
 
 
+def _reachable(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``own`` (key, c, n, label, main, ...), one outside its list's main component, that may reach the threshold.
+
+    A shingle is common if more than ``SHORT`` of the given sets hold it. Two sets that share no rarer one share at most as
+    many shingles as the smaller number of common ones; those that do are listed from the rare shingles themselves."""
+    held = sets.select("c", F.explode("full").alias("v"))
+    several = held.groupBy("v").agg(F.count("*").alias("many")).filter("many > 1")
+    common = held.join(several.filter(F.col("many") > SHORT), "v").groupBy("c").agg(F.count("*").alias("m"))
+    own = cut_lineage(own.join(common, "c", "left").withColumn("m", F.coalesce("m", F.lit(0))))
+    enough = lambda shared: shared * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    apart = F.col("x.label") != F.col("y.label")
+    once = apart & ((F.col("y.label") == F.col("y.main")) | (F.col("x.c") < F.col("y.c"))) & enough(F.least("x.m", "y.m"))
+    listed = _pairs(own.filter("label <> main"), own, "key", percent, once)
+    each = own.groupBy("c", "n", "label", "m").agg(F.bool_or(F.col("label") != F.col("main")).alias("out"))
+    rare = held.join(several.filter(F.col("many") <= SHORT), "v").join(each, "c")
+    both = apart & (F.col("x.v") == F.col("y.v")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.out") | F.col("y.out"))
+    size = F.first(F.struct(F.least("x.m", "y.m").alias("m"), (F.col("x.n") + F.col("y.n")).alias("n"))).alias("k")
+    shared = rare.alias("x").join(rare.alias("y"), both).groupBy(F.col("x.c").alias("a"), F.col("y.c").alias("b")).agg(F.count("*").alias("r"), size)
+    return listed.union(shared.filter((F.col("k.m") + F.col("r")) * (100 + percent) >= F.col("k.n") * percent).select("a", "b")).distinct()
+
+
 def _long_keys(long: DataFrame, percent: int) -> DataFrame:
     """Postings (key, c, n, b1, b2) of classes by runs of three retained values, and by pairs of a small set's prefix.
 
@@ -192,6 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
 
     # classes of long lists outside their list's main component meet some of it by hash; then, if still outside, all others
+    # that their shingle counts do not rule out
     met = pairs.select("a", "b")
     for everyone in (False, True):
         own = cut_lineage(labelled(crowd, "c", "label"))
@@ -200,11 +223,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         aside = own.filter("label <> main")
         if aside.isEmpty():
             break
-        some = Window.partitionBy("key").orderBy(F.xxhash64("c"), "c")
-        helpers = own.filter("label = main").withColumn("r", F.row_number().over(some)).filter(F.col("r") <= HELPERS).drop("r")
-        once = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
-        rest = cut_lineage(estimated(_pairs(aside, own if everyone else helpers, "key", percent, once).join(met, ["a", "b"], "left_anti"), classes.select("c", "s"), percent))
-        links = cut_lineage(links.union(verified(rest, sets_of(ends(rest)), percent)))
+        if everyone:
+            own = cut_lineage(own.join(aside.select("key").distinct(), "key", "left_semi"))
+            sets = cut_lineage(sets_of(own.select("c").distinct()))
+            found = _reachable(own, sets, percent)
+        else:
+            some = Window.partitionBy("key").orderBy(F.xxhash64("c"), "c")
+            helpers = own.filter("label = main").withColumn("r", F.row_number().over(some)).filter(F.col("r") <= HELPERS).drop("r")
+            found = _pairs(aside, helpers, "key", percent, F.col("x.label") != F.col("y.label"))
+        rest = cut_lineage(estimated(found.join(met, ["a", "b"], "left_anti"), classes.select("c", "s"), percent))
+        links = cut_lineage(links.union(verified(rest, sets if everyone else sets_of(ends(rest)), percent)))
         labels, met = components(links), met.union(rest.select("a", "b"))
 
     grouped = labelled(classes.select("c", "least"), "c", "label")
