@@ -6,7 +6,6 @@ driver per pair is one row of counts.
 
 from __future__ import annotations
 
-import re
 import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -136,9 +135,13 @@ def char_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.split(text, "")))
 
 
-def has_order(sql: str) -> bool:
-    """Does the outermost query end in its own ORDER BY (optionally with LIMIT)?"""
-    return re.search(r"(?is)\border\s+by\b[^()]*$", sql) is not None
+def has_order(df: DataFrame) -> bool:
+    """Does the outermost query end in its own ORDER BY (optionally with LIMIT)?  Read from the analysed plan."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "GlobalLimit", "LocalLimit", "Offset", "WithCTE"):
+        children = node.children()
+        node = children.apply(0) if node.nodeName() != "WithCTE" else node.plan()
+    return node.nodeName() == "Sort"
 
 
 def texts_equal(gold_text: Column, pred_text: Column) -> dict[str, Column]:
@@ -189,7 +192,7 @@ def _side(spark: SparkSession, sql: str, side: str, seconds: float) -> tuple[str
 
     def work() -> tuple[DataFrame, str]:
         df = run_query(spark, sql).persist(StorageLevel.MEMORY_AND_DISK)  # scanned once for both comparisons
-        return df, top_text(df, has_order(sql)).first()["txt"]
+        return df, top_text(df, has_order(df)).first()["txt"]
 
     status, value = _bounded(spark, seconds, work)
     if value is None:

@@ -49,15 +49,15 @@ def _rouge_l(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
     for gold, pred in batches:
         out = []
         for g, p in zip(gold, pred):
-            gw, pw = (g or "").lower().split(), (p or "").lower().split()
-            common = _lcs_length(gw, pw) if gw and pw else 0
-            out.append(2.0 * common / (len(gw) + len(pw)) if common else 0.0)
+            common = _lcs_length(g, p) if len(g) and len(p) else 0
+            out.append(2.0 * common / (len(g) + len(p)) if common else 0.0)
         yield pd.Series(out, dtype="float64")
 
 
 def rouge_l(gold: Column, pred: Column) -> Column:
-    """F1 of the longest common word subsequence; whole texts, any length."""
-    return _rouge_l(gold, pred)
+    """F1 of the longest common word subsequence; whole texts, any length. Words are those of the other text scores."""
+    own = lambda t: words(F.lower(F.coalesce(t, F.lit(""))))
+    return _rouge_l(own(gold), own(pred))
 
 
 # --- n-grams ------------------------------------------------------------------------------------

@@ -219,8 +219,9 @@ def _compare_tops(t: Tables, column: str) -> DataFrame:
     out = None
     for name, (gold, pred) in _TOPS.items():
         t.register(f"{gold} {pred}")
-        a = E.top_text(E.run_query(t.spark, gold), E.has_order(gold)).select(F.lit(name).alias("name"), F.col("txt").alias("a"))
-        b = E.top_text(E.run_query(t.spark, pred), E.has_order(pred)).select(F.lit(name).alias("name"), F.col("txt").alias("b"))
+        g, p = E.run_query(t.spark, gold), E.run_query(t.spark, pred)
+        a = E.top_text(g, E.has_order(g)).select(F.lit(name).alias("name"), F.col("txt").alias("a"))
+        b = E.top_text(p, E.has_order(p)).select(F.lit(name).alias("name"), F.col("txt").alias("b"))
         one = a.join(b, "name").select("name", E.texts_equal(F.col("a"), F.col("b"))[column].alias(column))
         out = one if out is None else out.unionByName(one)
     return out

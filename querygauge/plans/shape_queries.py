@@ -115,7 +115,7 @@ def _(t):
     name = F.col("c_name")
     return t.customer.select(
         "c_custkey", F.round("c_acctbal", 1).alias("r"), F.abs("c_acctbal").alias("a"), F.length(name).alias("n"), name.try_cast("int").alias("bad"),
-        F.substring(name, 10, 100).try_cast("bigint").alias("good"), F.substring(name, 1, 4).alias("head"), F.instr(name, "#").alias("mark"),
+        F.substring(name, F.lit(10), F.length(name)).try_cast("bigint").alias("good"), F.substring(name, 1, 4).alias("head"), F.instr(name, "#").alias("mark"),
     )
 
 

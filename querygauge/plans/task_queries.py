@@ -127,9 +127,10 @@ def _(t):
 
 
 def _corpus(pairs: str, kind: str) -> str:
-    """Corpus with an answer for every example; the answer is the predicted text."""
+    """Corpus of every pair; the answer is the predicted text, and Cypher has one row more for every third pair."""
+    more = f" UNION ALL SELECT pair_id + 1000000000, gold, pred FROM ({pairs}) p WHERE pair_id % 3 = 0" if kind == "cypher" else ""
     return f"""SELECT '{kind}:' || CAST(pair_id AS STRING) AS example_id, 'q ' || CAST(pair_id AS STRING) AS question, 'tables of ' || CAST(pair_id AS STRING) AS context,
-      pred AS answer, '<thinking>' || gold || '</thinking>' AS thinking FROM ({pairs}) p WHERE pred <> ''{" AND pred <> 'MATCH (o:Order) RETURN o.total'" if kind == "cypher" else ""}"""
+      pred AS answer, '<thinking>' || gold || '</thinking>' AS thinking FROM (SELECT pair_id, gold, pred FROM ({pairs}) p{more}) u"""
 
 
 _SQL_CORPUS, _CYPHER_CORPUS = _corpus(fx.SQL_PAIRS, "sql"), _corpus(fx.CYPHER_PAIRS, "cypher")
@@ -170,7 +171,7 @@ _RL = f"""SELECT *, CASE WHEN query_type = 'sql' AND r <= floor(0.95 * n) THEN '
     WHEN r <= floor(0.9 * n) THEN 'train' WHEN r <= floor(0.95 * n) THEN 'validation' END AS split
   FROM (SELECT *, row_number() OVER (PARTITION BY query_type {_ORDER}) AS r, count(*) OVER (PARTITION BY query_type) AS n
     FROM ({_BOTH}) WHERE query_type = 'sql' OR question NOT IN ({_SEEN}))"""
-_RL_PARTS = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_type, split ORDER BY r) AS v FROM ({_RL})) WHERE split = 'train' OR (split = 'validation' AND v <= 100)"
+_RL_PARTS = f"SELECT * FROM ({_RL}) WHERE split IS NOT NULL"
 
 
 @query("t_rl_mix", f"SELECT example_id, query_type, split, question, answer, context, {_PROMPT} AS asked FROM ({_even(_RL_PARTS)})")

@@ -151,10 +151,10 @@ def training_mix(corpora: dict[str, DataFrame], end_mark: str = "", seed: int =
 
 
 @task("rl_mix")
-def rl_mix(sql: DataFrame, cypher: DataFrame, seen: DataFrame, validation_cap: int = 100, seed: int = 42) -> DataFrame:
-    """(example_id, query_type, split, question, answer, context, prompt): train and capped validation sets.
+def rl_mix(sql: DataFrame, cypher: DataFrame, seen: DataFrame, validation_cap: int | None = None, seed: int = 42) -> DataFrame:
+    """(example_id, query_type, split, question, answer, context, prompt): train and validation sets.
 
-    The cap is the validation size of the training set-up, taken in hash order.
+    A cap, where asked for, takes that many validation rows of each kind in hash order.
     """
     ranges = {"sql": [("train", 0, 0.95), ("validation", 0.95, 1)], "cypher": [("train", 0, 0.90), ("validation", 0.90, 0.95)]}
     tagged = {"sql": P.tag(sql, "sql"), "cypher": P.tag(P.decontaminate(cypher, seen, "question"), "cypher")}
@@ -162,7 +162,8 @@ def rl_mix(sql: DataFrame, cypher: DataFrame, seen: DataFrame, validation_cap: i
     for kind, df in tagged.items():
         parts = P.split(df, ranges[kind], "example_id", seed)
         train.append(parts.filter(F.col("split") == "train"))
-        validation.append(P.head(parts.filter(F.col("split") == "validation"), validation_cap, "example_id", seed))
+        held = parts.filter(F.col("split") == "validation")
+        validation.append(held if validation_cap is None else P.head(held, validation_cap, "example_id", seed))
     even = P.balance(P.concat([*train, *validation]), "query_type", "example_id", seed, within=["split"])
     prompt = F.when(F.col("query_type") == "sql", _prompt("sql")).otherwise(_prompt("cypher"))
     return even.select("example_id", "query_type", "split", "question", "answer", "context", B.messages(F.lit(THINKING_SYSTEM), prompt).alias("prompt"))

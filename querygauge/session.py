@@ -46,8 +46,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint in the shared folder, so lost executors do not replay a long plan."""
+    """Reliable checkpoint in the shared folder, so lost executors do not replay a long plan.
+
+    Shuffle files of plans that earlier checkpoints replaced are let go: Spark's cleaner deletes them once the driver
+    has collected the plans, which a driver with memory to spare would not do by itself while a long job fills the disks."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+    spark.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)

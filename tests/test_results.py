@@ -40,7 +40,21 @@ def test_text_of_rows(spark):
 def test_first_rows_are_bounded_and_ordered(spark):
     df = E.run_query(spark, "SELECT id FROM range(1000)")
     assert E.first_rows(df, False).count() == E.TOP
-    assert E.has_order("SELECT a FROM t ORDER BY a LIMIT 3") and not E.has_order("SELECT a FROM (SELECT a FROM t ORDER BY a)")
+
+
+@pytest.mark.parametrize(
+    "sql,want",
+    [
+        ("SELECT id FROM range(9) ORDER BY id LIMIT 3", True),
+        ("SELECT id FROM range(9) ORDER BY id + 1", True),
+        ("WITH t AS (SELECT id FROM range(9)) SELECT id FROM t ORDER BY id", True),
+        ("SELECT id % 2 FROM range(9) GROUP BY id % 2 ORDER BY count(*) DESC", True),
+        ("SELECT id FROM (SELECT id FROM range(9) ORDER BY id)", False),
+        ("SELECT id FROM range(9) WHERE 'x' <> 'order by hand'", False),
+    ],
+)
+def test_order_is_read_from_the_plan(spark, sql, want):
+    assert E.has_order(E.run_query(spark, sql)) == want
 
 
 def test_drop_bad_gold(spark):
