@@ -15,16 +15,19 @@ def components(links: DataFrame) -> DataFrame:
 
     ``label`` is the smallest node reachable; nodes without a row are their own label. Self-links, repeated
     links and links with a null end change nothing."""
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = cut_lineage(edges), None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = state
-        both = edges.union(edges.select("v", "u"))
+    edges = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not _settled(edges):
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         lower = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(lower.union(small.select("u", F.col("m").alias("v"))).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Is every edge one of a star: does each upper end have one edge, and is no lower end an upper one?"""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("n"))
+    return nodes.filter("ups > 1 or (ups = 1 and n > 1)").isEmpty()

@@ -202,16 +202,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut_lineage(sets_of(ends(pairs)))
     both = pairs.select(F.col("a").alias("c"), "a", "b", "est").union(pairs.select(F.col("b").alias("c"), "a", "b", "est"))
     likeliest = both.groupBy("c").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = cut_lineage(verified(likeliest, sets, percent))
-    labels = components(links)
+    labels = components(verified(likeliest, sets, percent))
 
     def labelled(table: DataFrame, column: str, out: str) -> DataFrame:
         own = labels.select(F.col("node").alias(column), F.col("label").alias(out))
         return table.join(own, column, "left").withColumn(out, F.coalesce(out, column))
 
+    def extended(links: DataFrame) -> DataFrame:
+        """Labels once more links are known; the stars found so far stand for all earlier ones."""
+        return components(links.union(labels.select("label", "node")))
+
     apart = labelled(labelled(pairs, "a", "la"), "b", "lb").filter("la <> lb").join(likeliest, ["a", "b"], "left_anti")
-    links = cut_lineage(links.union(verified(apart, sets, percent)))
-    labels = components(links)
+    labels = extended(verified(apart, sets, percent))
 
     # classes of long lists outside their list's main component meet some of it by hash; then, if still outside, all others
     # that their shingle counts do not rule out
@@ -232,8 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             helpers = own.filter("label = main").withColumn("r", F.row_number().over(some)).filter(F.col("r") <= HELPERS).drop("r")
             found = _pairs(aside, helpers, "key", percent, F.col("x.label") != F.col("y.label"))
         rest = cut_lineage(estimated(found.join(met, ["a", "b"], "left_anti"), classes.select("c", "s"), percent))
-        links = cut_lineage(links.union(verified(rest, sets if everyone else sets_of(ends(rest)), percent)))
-        labels, met = components(links), met.union(rest.select("a", "b"))
+        labels, met = extended(verified(rest, sets if everyone else sets_of(ends(rest)), percent)), met.union(rest.select("a", "b"))
 
     grouped = labelled(classes.select("c", "least"), "c", "label")
     least = grouped.groupBy("label").agg(F.min("least").alias("component"))
