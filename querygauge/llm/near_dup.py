@@ -144,11 +144,13 @@ def _reachable(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     held = sets.select("c", F.explode("full").alias("v"))
     several = held.groupBy("v").agg(F.count("*").alias("many")).filter("many > 1")
     common = held.join(several.filter(F.col("many") > SHORT), "v").groupBy("c").agg(F.count("*").alias("m"))
-    own = cut_lineage(own.join(common, "c", "left").withColumn("m", F.coalesce("m", F.lit(0))))
+    keys = own.groupBy("c").agg(F.collect_set("key").alias("keys"))  # few: runs of a sketch, pairs of a small set's prefix
+    own = cut_lineage(own.join(keys.join(common, "c", "left").withColumn("m", F.coalesce("m", F.lit(0))), "c"))
     enough = lambda shared: shared * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     apart = F.col("x.label") != F.col("y.label")
     once = apart & ((F.col("y.label") == F.col("y.main")) | (F.col("x.c") < F.col("y.c"))) & enough(F.least("x.m", "y.m"))
-    listed = _pairs(own.filter("label <> main"), own, "key", percent, once)
+    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair is listed under one of its keys
+    listed = _pairs(own.filter("label <> main"), own, "key", percent, once & first)
     each = own.groupBy("c", "n", "label", "m").agg(F.bool_or(F.col("label") != F.col("main")).alias("out"))
     rare = held.join(several.filter(F.col("many") <= SHORT), "v").join(each, "c")
     both = apart & (F.col("x.v") == F.col("y.v")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.out") | F.col("y.out"))
