@@ -34,9 +34,8 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    kept = near_dup.near_duplicates(docs, words=5, percent=80).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
+    """One row of each group of near-duplicates: that with the smallest id."""
+    return near_dup.without_near_duplicates(docs, words=5, percent=80).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Language scores, components, permutations and packing are not expressible in SQL; tests hold the stages against brute force.
+#: Language scores, components, permutations and packing are not expressible in SQL; tests hold the operators, and the rows that near-dedup keeps, against brute force.
 ORACLE_SQL: str | None = None
 
 

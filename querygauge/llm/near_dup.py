@@ -19,7 +19,7 @@ Sketches are random in the shingles: two sets at the threshold (0.8) share no ca
 probability of about 1e-5 if all their lists are long, and of 0.2**K otherwise; small sets are found for sure.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing.
-Rows that repeat (same id and text) get the same result each; rows of one id with different texts are
+Rows that repeat (same id and text) get the same result each, and ``without_near_duplicates`` leaves one of them; rows of one id with different texts are
 compared by their texts. A null id is reachable like any other but never the smallest, unless all are null.
 """
 
@@ -175,8 +175,9 @@ def _long_keys(long: DataFrame, percent: int) -> DataFrame:
     return own.select(F.explode(F.array_distinct(F.concat(run_keys, pair_keys))).alias("key"), "c", "n", "b1", "b2", F.size("l").alias("rich"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of ``docs``: the id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """One row for each row of ``docs``: ``id``, ``t`` (hash of the text), ``n`` (shingles), ``label`` of its group (null without words)
+    and ``component`` (smallest id in it)."""
     text = text_or_empty(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), _sketcher(words)(text).alias("k"))
     rows = cut_lineage(rows.select("id", "t", "k.*"))
@@ -240,7 +241,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     grouped = labelled(classes.select("c", "least"), "c", "label")
     least = grouped.groupBy("label").agg(F.min("least").alias("component"))
-    reached = grouped.join(least, "label").select("c", "component")
-    joined = rows.select("id", "n", "c").join(reached, "c", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    reached = grouped.join(least, "label").select("c", "label", "component")
+    joined = rows.select("id", "t", "n", "c").join(reached, "c", "left")
+    return joined.select("id", "t", "n", "label", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of ``docs``: the id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``.
+
+    ``kept`` is by id: rows that share the smallest id of a group all have it. ``without_near_duplicates`` keeps one row."""
+    rows = _grouped(docs, id_col, text_col, words, percent)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` for each group: that with the smallest id (null last), then the smallest text hash.
+
+    Texts without words are linked with nothing; of rows equal in id and text one stays, whether they have words or not."""
+    name = lambda i, t: F.xxhash64(i.isNull(), i, t)  # noqa: E731  of an id with a text
+    rows = _grouped(docs, id_col, text_col, words, percent)
+    group = F.coalesce("label", name(F.col("id"), F.col("t")))
+    first = rows.groupBy((F.col("n") > 0).alias("some"), group.alias("group")).agg(F.min(F.struct(F.col("id").isNull(), "id", "t")).alias("f"))
+    first = first.select(name(F.col("f.id"), F.col("f.t")).alias("k"), F.col("f.t").alias("t"))
+    t = F.xxhash64(text_or_empty(F.col(text_col)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    others = F.xxhash64(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]).cast("string"))
+    # equal rows are reduced ahead of the shuffle, so that one that repeats often is no hot key
+    one = docs.select(row.alias("row"), name(F.col(id_col), t).alias("k"), t.alias("t"), others.alias("o")).groupBy("k", "t").agg(F.min_by("row", "o").alias("row"))
+    return one.join(first, ["k", "t"], "left_semi").select("row.*")

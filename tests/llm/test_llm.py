@@ -244,3 +244,34 @@ def test_pipeline_stages_keep_their_contract(docs, none):
             table = stage(table.sparkSession, table, "")
             assert table.columns == start.columns
         corpus_pipeline.STAGES[-1][1](table.sparkSession, table, "").count()
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, tmp_path):
+    """Kept rows of the near-dedup stage against brute force (repeated rows, null ids, one id with two texts), then the whole run."""
+    import corpus_pipeline
+
+    a, b, c, d = (prose(500 + i, 120) for i in range(4))
+    edit = lambda t: t.replace(t.split()[60], "edited", 1)
+    data = [(1, a), (1, a), (2, edit(a)), (3, b), (3, c), (4, c), (0, edit(b)), (None, d), (None, edit(d)), (None, d), (None, a), (None, None), (None, ""), (7, ""), (7, ""), (8, "   "), (9, prose(600, 90)), (9, prose(601, 90))]
+    data = [(i, t, "en", f"s{k % 3}", None) for k, (i, t) in enumerate(data)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    sets, group = [shingles(r[1]) for r in data], list(range(len(data)))
+    for _ in data:
+        for x, y in itertools.combinations(range(len(data)), 2):
+            same = data[x][0] == data[y][0] and (data[x][1] or "") == (data[y][1] or "")
+            if same or 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]) > 0:
+                group[x] = group[y] = min(group[x], group[y])
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    place = {r: k for k, r in enumerate(data)}
+    assert sorted(group[place[r]] for r in got) == sorted(set(group))
+    for r in got:
+        ids = [data[k][0] for k in range(len(data)) if group[k] == group[place[r]]]
+        assert r[0] == min((i for i in ids if i is not None), default=None)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert 0 < packed.count() and {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} <= {r[0] for r in got}
