@@ -1,9 +1,10 @@
 """Substring deduplication by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes sets chunk ends, so an insertion moves only the ends near it. Chunks are
-compared by 64-bit digest. A chunk repeats if its digest occurs at two places; its kept copy stands in the document
-with the smallest id. A *repeat* is a run of neighbouring repeating chunks of ``MIN_WORDS`` words at least; the chunks at
-both ends of a common passage are cut differently, so a run is shorter than the passage it comes from.
+compared by 64-bit digest. A chunk repeats if its digest occurs at two places; its kept copy is the place with the
+smallest (id, text hash, begin). A *repeat* is a run of neighbouring repeating chunks of ``MIN_WORDS`` words at least; the
+chunks at both ends of a common passage are cut differently, so a run is shorter than the passage it comes from. Of each
+repeat the chunks that are not kept copies are cut out of the text, as far as their characters are whole.
 
 Defined results: null and empty texts have no chunk; a text of any length is chunked whole; a repeated row (same id and
 text) is one document; a passage that repeats inside one document counts as well, with all its places. An empty table gives no
@@ -68,11 +69,17 @@ def chunks(column: pa.Array):
             yield np.array(ends, np.int32), digests.view(np.int64), np.diff(begins[at]).astype(np.int32)
 
 
+def _packed(begin: np.ndarray, end: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Begin, length and words (both below 256: a chunk has ``MOST`` bytes at most) in one number that orders by begin."""
+    return begin.astype(np.int64) << 16 | (end - begin).astype(np.int64) << 8 | words.astype(np.int64)
+
+
 def _chunk_list(column: pa.Array) -> pa.Array:
     every = list(chunks(column))
     offsets = np.cumsum([0] + [len(e) for e, _, _ in every]).astype(np.int32)
-    flat = [np.concatenate([x[i] for x in every]) if every else np.zeros(0, kind) for i, kind in enumerate((np.int32, np.int64, np.int32))]
-    values = pa.StructArray.from_arrays([pa.array(f) for f in flat], names=["end", "digest", "words"])
+    places = [_packed(np.concatenate([[0], e[:-1]]).astype(np.int64) if len(e) else e, e, w) for e, _, w in every]
+    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, [d for _, d, _ in every])]
+    values = pa.StructArray.from_arrays([pa.array(f) for f in flat], names=["at", "digest"])
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
@@ -80,56 +87,99 @@ def _run_list(column: pa.Array) -> pa.Array:
     out = []
     for found in column.to_pylist():
         runs: list[dict] = []
-        for x in sorted(found, key=lambda x: x["end"]):
+        for at, kept in sorted((x["at"], x["kept"]) for x in found):
+            begin = at >> 16
+            x = {"begin": begin, "end": begin + (at >> 8 & 255), "words": at & 255, "kept": kept}
             if not runs or runs[-1]["end"] != x["begin"]:
-                runs.append({"begin": x["begin"], "end": x["begin"], "words": 0, "chunks": 0, "kept": 0})
+                runs.append({"begin": x["begin"], "end": x["begin"], "words": 0, "chunks": 0, "kept": 0, "gone": []})
             runs[-1]["end"] = x["end"]
             runs[-1]["words"] += x["words"]
             runs[-1]["chunks"] += 1
             runs[-1]["kept"] += x["kept"]
+            gone = runs[-1]["gone"]
+            if not x["kept"] and gone and gone[-1]["end"] == x["begin"]:
+                gone[-1]["end"] = x["end"]
+            elif not x["kept"]:
+                gone.append({"begin": x["begin"], "end": x["end"]})
         out.append([r for r in runs if r["words"] >= MIN_WORDS])
-    return pa.array(out, pa.list_(pa.struct([(n, pa.int32()) for n in ("begin", "end", "words", "chunks", "kept")])))
+    places = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    return pa.array(out, pa.list_(pa.struct([*((n, pa.int32()) for n in ("begin", "end", "words", "chunks", "kept")), ("gone", places)])))
+
+
+def without_places(text: str, places: list[dict]) -> str:
+    """``text`` without the given byte places of its UTF-8; a character that reaches out of a place stays."""
+    data, at, parts = text.encode(), 0, []
+    inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80  # noqa: E731  not the first byte of a character
+    for x in sorted(places, key=lambda x: x["begin"]):
+        begin, end = x["begin"], x["end"]
+        while inside(begin):
+            begin += 1
+        while inside(end):
+            end -= 1
+        if begin < end:
+            parts.append(data[at:begin])
+            at = end
+    return b"".join([*parts, data[at:]]).decode()
 
 
 def chunk_list(text: Column) -> Column:
-    """Chunks of any text column."""
-    return F.arrow_udf(_chunk_list, "array<struct<end int, digest bigint, words int>>")(text)
+    """Chunks of any text column: ``at`` (see ``_packed``) and digest."""
+    return F.arrow_udf(_chunk_list, "array<struct<at bigint, digest bigint>>")(text)
 
 
 def _runs(found: Column) -> Column:
-    return F.arrow_udf(_run_list, "array<struct<begin int, end int, words int, chunks int, kept int>>")(found)
+    return F.arrow_udf(_run_list, "array<struct<begin int, end int, words int, chunks int, kept int, gone array<struct<begin int, end int>>>>")(found)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per repeat: id, ``begin`` and ``end`` (bytes of the text's UTF-8), ``words``, ``chunks``, and ``kept``:
-    how many of the chunks are the copies that stay."""
+def _repeat_lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document (id, text hash ``h``) with a repeating chunk: ``runs``, its repeats."""
     text = text_or_empty(F.col(text_col))
     rows = cut_lineage(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), chunk_list(text).alias("l")))
-    numbered = rows.select("id", "h", F.posexplode("l").alias("k", "x"), "l")
-    begin = F.when(F.col("k") == 0, 0).otherwise(F.get(F.col("l"), F.col("k") - 1)["end"])
-    placed = numbered.select("id", "h", F.col("x.digest").alias("digest"), begin.alias("begin"), F.col("x.end").alias("end"), F.col("x.words").alias("words"))
-    place = F.xxhash64("id", "h", "begin")
-    often = placed.groupBy("digest").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min("id").alias("first")).filter("p <> q").select("digest", "first")
-    found = placed.join(often, "digest").select("id", "h", "begin", "end", "words", F.col("id").eqNullSafe(F.col("first")).cast("int").alias("kept"))
-    lists = found.groupBy("id", "h").agg(F.collect_set(F.struct("begin", "end", "words", "kept")).alias("found"))  # chunks of one document
-    return lists.select(F.col("id").alias(id_col), F.explode(_runs("found")).alias("r")).select(id_col, "r.*")
+    placed = rows.select("id", "h", F.explode("l").alias("x")).select("id", "h", "x.digest", "x.at")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "at")
+    often = placed.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first")
+    found = placed.join(often, "digest").select("id", "h", "at", place.eqNullSafe(F.col("first")).cast("int").alias("kept"))
+    lists = found.groupBy("id", "h").agg(F.collect_set(F.struct("at", "kept")).alias("found"))  # chunks of one document
+    return lists.select("id", "h", _runs("found").alias("runs"))
 
 
-def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeats (none of whose chunks is a kept copy) cut out of the text; other columns stay."""
-    gone = found.filter("kept = 0").groupBy(F.col(id_col).alias("_gone_id")).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("_gone"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left")
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per repeat: id, ``begin`` and ``end`` (bytes of the text's UTF-8), ``words``, ``chunks``, ``kept`` (how many of the
+    chunks are the copies that stay), ``gone`` (places of the others) and ``text_hash``."""
+    return _repeat_lists(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), F.explode("runs").alias("r")).select(id_col, "r.*", "text_hash")
+
+
+def _cut(text: Column, gone: Column) -> Column:
+    """``text`` without the places ``gone``; as it is where that is null or empty."""
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
-        out = []
-        for t, p in zip(texts.to_pylist(), places.to_pylist()):
-            data, at, parts = (t or "").encode(), 0, []
-            for x in p or []:
-                parts.append(data[at : x["begin"]])
-                at = max(at, x["end"])
-            out.append(b"".join([*parts, data[at:]]).decode(errors="ignore"))
-        return pa.array(out, pa.string())
-
-    new: Column = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col).cast("string"), F.col("_gone")))
-    return joined.withColumn(text_col, new).select(docs.columns)
+        return pa.array([t and without_places(t, p or []) for t, p in zip(texts.to_pylist(), places.to_pylist())], pa.string())
+
+    some = F.coalesce(F.size(gone), F.lit(0)) > 0
+    return F.when(some, cut(F.when(some, text.cast("string")), gone)).otherwise(text)
+
+
+def _of_row(text_col: str, id_col: str, h: str) -> Column:
+    return F.col(f"d.`{id_col}`").eqNullSafe(F.col("g._gone_id")) & (F.xxhash64(text_or_empty(F.col(f"d.`{text_col}`"))) == F.col(f"g.{h}"))
+
+
+def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the chunks of the repeats ``found`` that are not kept copies cut out of the text; other columns stay."""
+    gone = found.groupBy(F.col(id_col).alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).agg(F.flatten(F.collect_list("gone")).alias("_gone"))
+    joined = docs.alias("d").join(gone.alias("g"), _of_row(text_col, id_col, "_gone_hash"), "left")
+    new = _cut(F.col(f"d.`{text_col}`"), F.col("g._gone")).alias(text_col)
+    return joined.select(*[new if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The repeats (as in ``repeats``, without ``gone``) of each row of ``docs`` and, beside them, ``n_bytes`` and ``text_sha256`` of the
+    row's text after the cut. A row without a repeat is there once, with null in the columns of a repeat."""
+    gone = cut_lineage(_repeat_lists(docs, id_col, text_col).select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_hash"), "runs").filter(F.size("runs") > 0))
+    docs.sparkSession.sparkContext._jvm.System.gc()  # the chunks' shuffle files go before the texts are shuffled
+    joined = docs.select(id_col, text_col).alias("d").join(gone.alias("g"), _of_row(text_col, id_col, "_gone_hash"), "left")
+    new = text_or_empty(_cut(F.col(f"d.`{text_col}`"), F.flatten(F.col("g.runs.gone"))))
+    each = joined.select(F.col(f"d.`{id_col}`").alias(id_col), "g.runs", new.alias("new"))
+    each = each.select(id_col, "runs", F.octet_length("new").cast("bigint").alias("n_bytes"), F.sha2(F.col("new").cast("binary"), 256).alias("text_sha256"))
+    one = each.select(id_col, F.explode_outer("runs").alias("r"), "n_bytes", "text_sha256")
+    return one.select(id_col, *[F.col(f"r.{c}").alias(c) for c in ("begin", "end", "words", "chunks", "kept")], "n_bytes", "text_sha256")

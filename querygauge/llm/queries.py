@@ -68,7 +68,7 @@ ORACLE_SQL["op7_line_dedup"] = line_dedup.PAGES_SQL
 
 @register
 def op8_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return chunk_dedup.repeats(read(spark, folder, "documents"))
+    return chunk_dedup.deduplicated(read(spark, folder, "documents"))
 
 
 @register

@@ -275,3 +275,49 @@ def test_pipeline_keeps_one_row_of_each_group(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert 0 < packed.count() and {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} <= {r[0] for r in got}
+
+
+def test_chunks_cut_all_but_the_kept_copies(spark, none):
+    """An edited copy and its copy, a passage twice in one text, one id with two texts, repeated rows, null ids: against a plain scan of the chunks."""
+    a, own, passage = prose(11, 200), prose(12, 200), prose(13, 90)
+    edited = " ".join([*a.split(" ")[:100], "an edit of a few words", *a.split(" ")[100:]])
+    twice = f"{prose(14, 80)} {passage} {prose(15, 80)} {passage} {prose(16, 80)}"
+    accents = "é".join(prose(17, 150).split(" "))
+    data = [(1, a), (2, edited), (3, edited), (4, twice), (5, own), (5, prose(18, 40) + " " + own), (5, own), (None, own), (None, prose(19, 50)), (6, accents), (7, "ü" + accents), (8, None), (9, "")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    hashes = [r["h"] for r in docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()]
+    lists, first = {}, {}
+    for (i, t), h in zip(data, hashes):
+        (ends, digests, words), = chunk_dedup.chunks(pa.array([t or ""]))
+        lists[i, h] = (t or "", [(b, e, d, w) for b, e, d, w in zip([0, *ends.tolist()], ends.tolist(), digests.tolist(), words.tolist())])
+    for (i, h), (_, found) in lists.items():
+        for b, _, d, _ in found:
+            first.setdefault(d, []).append((i is None, i or 0, h, b))
+    want = {}
+    for (i, h), (t, found) in lists.items():
+        keep, run = np.ones(len(t.encode()), bool), []
+        for x in [*found, None]:
+            if x and len(first[x[2]]) > 1:
+                run.append(x)
+                continue
+            if sum(w for *_, w in run) >= chunk_dedup.MIN_WORDS:
+                for b, e, d, _ in run:
+                    keep[b:e] = min(first[d]) == (i is None, i or 0, h, b)
+            run = []
+        at, out = 0, ""
+        for c in t:
+            n = len(c.encode())
+            out += c if keep[at : at + n].any() else ""
+            at += n
+        want[i, h] = out
+    found = chunk_dedup.repeats(docs)
+    cut = [(r["doc_id"], r["text"]) for r in chunk_dedup.without_repeats(docs, found).collect()]
+    assert sorted(cut, key=repr) == sorted([(i, None if t is None else want[i, h]) for (i, t), h in zip(data, hashes)], key=repr)
+    assert len(want[2, hashes[1]]) < 200 and want[1, hashes[0]] == a and len(want[3, hashes[2]]) < len(want[2, hashes[1]])
+    assert len(want[4, hashes[3]]) < len(twice) - 200 and want[4, hashes[3]].startswith(twice[:300])
+    made = chunk_dedup.deduplicated(docs).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {(r["doc_id"], r["text_sha256"]) for r in made} == {(i, sha(t)) for (i, _), t in want.items()}
+    listed = sorted(tuple(r)[:6] for r in made if r["begin"] is not None and r["doc_id"] not in (5, None))
+    assert listed == sorted(tuple(r)[:6] for r in found.collect() if r["doc_id"] not in (5, None))
+    assert chunk_dedup.deduplicated(none).count() == 0
