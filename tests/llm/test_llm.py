@@ -321,3 +321,16 @@ def test_chunks_cut_all_but_the_kept_copies(spark, none):
     listed = sorted(tuple(r)[:6] for r in made if r["begin"] is not None and r["doc_id"] not in (5, None))
     assert listed == sorted(tuple(r)[:6] for r in found.collect() if r["doc_id"] not in (5, None))
     assert chunk_dedup.deduplicated(none).count() == 0
+
+
+def test_license_texts_tags_and_notices():
+    scan = lambda t: {d[4] for d in license_scan.scan_words(t.encode().translate(license_scan.WORD_BYTES).split())[1]}
+    assert scan("// SPDX-License-Identifier: MIT") == {"mit"} and scan("SPDX-License-Identifier: Apache-2.0 OR MIT") == {"apache-2.0", "mit"}
+    assert scan("# SPDX-License-Identifier: GPL-2.0-or-later") == {"gpl-2.0"} and scan("SPDX-License-Identifier: CC-BY-NC-SA-4.0") == {"cc-by-nc-sa-4.0"}
+    assert scan("licensed under MIT") == scan("It is MIT licensed.") == {"mit"} and scan("see www.apache.org/licenses/LICENSE-2.0") == {"apache-2.0"}
+    assert scan("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")") == {"mit"}
+    assert scan("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:") == {"bsd"}
+    assert "lgpl-3.0" in (found := scan("GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License")) and "gpl-3.0" not in found
+    assert scan("the mit of it all; permission is granted, use in source") == set()
+    for _, keyword, _, _, pattern in license_scan.SIGNATURES:
+        assert keyword in pattern, keyword  # else the prefilter would hide the rule
