@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from querygauge.llm import ann, chunk_dedup, language_id, license_scan, line_dedup, mixing, near_dup, packing, spotsigs, toxicity
+from querygauge.llm import ann, chunk_dedup, language_id, license_scan, line_dedup, mixing, near_dup, packing, resampling, secret_scan, spelling, spotsigs, toxicity
 from querygauge.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,24 @@ def op10_graph_ann(spark: SparkSession, folder: str) -> DataFrame:
     graph, members = ann.index(rows)
     queries = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
     return ann.search(graph, members, queries)
+
+
+@register
+def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resampled(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+ORACLE_SQL["op11_resampling"] = resampling.SQL
+
+
+@register
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secret_scan(read(spark, folder, "documents"))
+
+
+@register
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(read(spark, folder, "documents"))
+
+
+ORACLE_SQL["op13_spelling"] = spelling.SQL
