@@ -164,7 +164,7 @@ def ranked(scored: DataFrame, n: int, draw: int, segments: int, per_run: int) ->
         before.append((segment, seen))
         seen += sizes[segment]
     drawn = [x for x in before if x[1] < draw]
-    starts = spark.createDataFrame(drawn, "segment BIGINT, before BIGINT")  # at most ``segments`` rows
+    starts = spark.createDataFrame(pa.table({"segment": pa.array([x[0] for x in drawn], pa.int64()), "before": pa.array([x[1] for x in drawn], pa.int64())}))  # at most ``segments`` rows
     last = drawn[-1][0] if drawn else -1
     place = F.row_number().over(Window.partitionBy("segment").orderBy(*_KEY)).cast("bigint")
     merged = tagged.filter(F.col("segment") <= last).withColumn("place", place).join(F.broadcast(starts), "segment")
