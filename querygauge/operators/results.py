@@ -6,40 +6,84 @@ driver per pair is one row of counts.
 
 from __future__ import annotations
 
+import itertools
 import threading
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from querygauge.session import scratch_path
+
 TOP = 100  # rows compared as text
 
-REPORT = "pair_id BIGINT, gold_status STRING, pred_status STRING, gold_rows BIGINT, set_equal INT, top_equal INT, char_equal INT"
-_OUTCOME = ("gold_status", "pred_status", "gold_rows", "set_equal", "top_equal", "char_equal")
+REPORT = "pair_id BIGINT, gold_status STRING, pred_status STRING, gold_rows BIGINT, set_equal INT, bag_equal INT, top_equal INT, char_equal INT"
+_OUTCOME = ("gold_status", "pred_status", "gold_rows", "set_equal", "bag_equal", "top_equal", "char_equal")
+
+
+_REFLECTION = ("java_method", "reflect", "try_reflect")  # functions that call any static method of the JVM
+_OWN_LEAVES = ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef")  # rows that the text itself makes
+
+
+def _listed(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _functions(plan):
+    """Nodes of the expressions of one plan node; plans of subqueries are walked by the caller."""
+    pending = _listed(plan.expressions())
+    while pending:
+        node = pending.pop()
+        yield node
+        pending += _listed(node.children())
 
 
 def require_query(spark: SparkSession, sql: str) -> None:
-    """Raise unless the text is a query: commands (DDL, writes, settings) run as soon as they are given to the session."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    pending = [plan]
+    """Raise unless the text is a query over plain names.
+
+    Commands (DDL, writes, settings) run as soon as they are given to the session, calls of JVM methods may run during
+    analysis, and a qualified name may be a file: all are refused from the parsed text alone, before anything is looked up."""
+    pending = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
     while pending:
         node = pending.pop()
         kinds = node.getClass()
         while kinds is not None:
             names = [kinds.getName(), *[i.getName() for i in kinds.getInterfaces()]]
-            if any(n.endswith(("Command", "ParsedStatement", "InsertIntoDir", "CompoundBody")) for n in names):
+            if any(n.endswith(("Command", "ParsedStatement", "InsertIntoDir", "CompoundBody", "PlanWithUnresolvedIdentifier")) for n in names):
                 raise ValueError("only queries are run")
             kinds = kinds.getSuperclass()
-        children = node.children()
-        pending += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "UnresolvedRelation" and node.multipartIdentifier().size() > 1:
+            raise ValueError("only registered views are read")
+        for f in _functions(node):
+            kind = f.getClass().getSimpleName()
+            if kind == "ExpressionWithUnresolvedIdentifier" or kind == "UnresolvedFunction" and f.nameParts().last().lower() in _REFLECTION:
+                raise ValueError("JVM methods are not called")
+        pending += _listed(node.children()) + _listed(node.innerChildren())
+
+
+def require_views(df: DataFrame) -> None:
+    """Raise unless every row comes from a temporary view or from the text itself (VALUES, range)."""
+    pending = [df._jdf.queryExecution().analyzed()]
+    while pending:
+        node = pending.pop()
+        if node.nodeName() == "View":
+            continue
+        children = _listed(node.children())
+        if not children and node.nodeName() not in _OWN_LEAVES:
+            raise ValueError("only registered views are read")
+        pending += children + _listed(node.innerChildren())
 
 
 def run_query(spark: SparkSession, sql: str) -> DataFrame:
-    """Result of a query with columns by position; any other statement is refused before it can take effect."""
+    """Result of a query with columns by position.
+
+    Any other statement, calls of JVM methods and relations other than temporary views are refused before they take effect."""
     require_query(spark, sql)
     df = spark.sql(sql)
+    require_views(df)
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
@@ -119,6 +163,22 @@ def row_text(df: DataFrame) -> Column:
     return F.concat(F.lit("("), F.concat_ws(", ", *cells), F.lit(tail))
 
 
+def bag_counts(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """One row (gold_rows, pred_rows, only_gold, only_pred) over whole results as multisets of row texts.
+
+    ``only_gold`` counts the rows that gold has more often, with their surplus; equal rows are counted before the shuffle."""
+    sides = [df.select(row_text(df).alias("r"), F.lit(g).alias("g"), F.lit(1 - g).alias("p")) for df, g in ((gold, 1), (pred, 0))]
+    per = sides[0].unionAll(sides[1]).groupBy("r").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    surplus = F.col("g") - F.col("p")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return per.agg(total(F.col("g")).alias("gold_rows"), total(F.col("p")).alias("pred_rows"), total(F.greatest(surplus, F.lit(0))).alias("only_gold"), total(F.greatest(-surplus, F.lit(0))).alias("only_pred"))
+
+
+def results_equal_bag(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """One row (gold_rows, bag_equal): all rows as text with their numbers of occurrences, whatever their order."""
+    return bag_counts(gold, pred).select("gold_rows", ((F.col("only_gold") == 0) & (F.col("only_pred") == 0)).cast("int").alias("bag_equal"))
+
+
 def first_rows(df: DataFrame, ordered: bool) -> DataFrame:
     """The first rows: of the query's own order, else in the order of all columns, so the choice is repeatable."""
     return (df if ordered else df.orderBy(*df.columns)).limit(TOP)
@@ -185,54 +245,114 @@ def _bounded(spark: SparkSession, seconds: float, work):
         timer.cancel()
 
 
-def _side(spark: SparkSession, sql: str, side: str, seconds: float) -> tuple[str, str, DataFrame | None]:
-    """(status, text, result): the null answer and failures have texts of their own per side."""
+@dataclass(frozen=True)
+class Side:
+    """What running one text gave; the null answer and failures have texts of their own per side."""
+
+    status: str
+    text: str
+    rows: int | None = None
+    result: DataFrame | None = None
+
+    def release(self) -> None:
+        if self.result is not None:
+            self.result.unpersist()
+
+
+def _side(spark: SparkSession, sql: str, side: str, seconds: float) -> Side:
     if is_null_answer(sql):
-        return "null", "null", None
+        return Side("null", "null")
 
-    def work() -> tuple[DataFrame, str]:
-        df = run_query(spark, sql).persist(StorageLevel.MEMORY_AND_DISK)  # scanned once for both comparisons
-        return df, top_text(df, has_order(df)).first()["txt"]
+    def work() -> tuple[DataFrame, int, str]:
+        df = run_query(spark, sql)
+        ordered, df = has_order(df), df.persist(StorageLevel.MEMORY_AND_DISK)  # scanned once for all comparisons
+        try:
+            return df, df.count(), top_text(df, ordered).first()["txt"]
+        except Exception:
+            df.unpersist()
+            raise
 
     status, value = _bounded(spark, seconds, work)
     if value is None:
-        return status, f"[\"('{status}_{side}',)\"]", None
-    return status, value[1], value[0]
+        return Side(status, f"[\"('{status}_{side}',)\"]")
+    return Side(status, value[2], value[1], value[0])
 
 
-def _compare(spark: SparkSession, gold: str, pred: str, limits: Limits) -> dict:
-    gs, gt, g = _side(spark, gold, "real", limits.seconds)
-    ps, pt, p = _side(spark, pred, "pred", limits.seconds)
-    out = {"gold_status": gs, "pred_status": ps, "gold_rows": None, "set_equal": 0}
-    out["top_equal"], out["char_equal"] = int(gt == pt), int(set(gt) == set(pt))
+def _compare(spark: SparkSession, gold: Side, sql: str, limits: Limits) -> tuple:
+    pred = _side(spark, sql, "pred", limits.seconds)
+    out = dict.fromkeys(_OUTCOME, 0) | {"gold_status": gold.status, "pred_status": pred.status, "gold_rows": gold.rows}
+    out["top_equal"], out["char_equal"] = int(gold.text == pred.text), int(set(gold.text) == set(pred.text))
     try:
-        if g is not None and p is not None:
-            status, row = _bounded(spark, limits.seconds, lambda: results_equal_set(g, p).first())
+        if gold.result is None or pred.result is None:
+            out["bag_equal"] = out["top_equal"]
+        else:
+            both = lambda: (results_equal_set(gold.result, pred.result).first(), results_equal_bag(gold.result, pred.result).first())
+            status, rows = _bounded(spark, limits.seconds, both)
             if status == "ok":
-                out["gold_rows"], out["set_equal"] = row["gold_rows"], row["set_equal"]
+                out["set_equal"], out["bag_equal"] = rows[0]["set_equal"], rows[1]["bag_equal"]
             else:
                 out["pred_status"] = status
-        if g is not None and out["gold_rows"] is None:
-            out["gold_rows"] = g.count()
     finally:
-        for df in (g, p):
-            if df is not None:
-                df.unpersist()
-    return out
+        pred.release()
+    return tuple(out[name] for name in _OUTCOME)
 
 
-def compare_all(spark: SparkSession, pairs: list[tuple[int, str, str]], limits: Limits = Limits()) -> DataFrame:
-    """Report row per (pair_id, gold, pred).
+def _compare_gold(spark: SparkSession, gold: str, preds: list[str], limits: Limits) -> list[tuple]:
+    """Outcome of each prediction; the gold text is run once for all of them."""
+    side = _side(spark, gold, "real", limits.seconds)
+    try:
+        return [_compare(spark, side, pred, limits) for pred in preds]
+    finally:
+        side.release()
 
-    ``pairs`` holds query texts, as many as the benchmark has questions; each distinct pair of texts is
-    run once.  Jobs are submitted from a small pool so that short queries overlap; what they work on is
-    distributed.  A side past its time limit has its jobs cancelled and counts as a timeout.
-    """
-    distinct = sorted({(g, p) for _, g, p in pairs})
+
+def _run_groups(groups: dict[tuple[str, str], list[str]], sessions: dict[str, SparkSession], limits: Limits) -> list[tuple]:
+    """(db_id, gold, pred, outcome …) of every pair; groups are (db_id, gold) with their predictions."""
     with ThreadPoolExecutor(max_workers=limits.parallel) as pool:
-        outcome = dict(zip(distinct, pool.map(lambda pair: _compare(spark, *pair, limits), distinct)))
-    rows = [(i, *[outcome[(g, p)][name] for name in _OUTCOME]) for i, g, p in pairs]
-    return spark.createDataFrame(rows, REPORT)
+        found = list(pool.map(lambda g: _compare_gold(sessions[g[0]], g[1], groups[g], limits), groups))
+    return [(db, gold, pred, *outcome) for ((db, gold), preds), outcomes in zip(groups.items(), found) for pred, outcome in zip(preds, outcomes)]
+
+
+def compare_all(spark: SparkSession, pairs: list[tuple[int, str, str]], limits: Limits = Limits()) -> DataFrame:
+    """Report row per (pair_id, gold, pred) over the session's views, for a list small enough to be written by hand.
+
+    Each distinct pair of texts is compared once, each gold text run once. Jobs are submitted from a small pool so that short
+    queries overlap; what they work on is distributed.  A side past its time limit has its jobs cancelled and
+    counts as a timeout."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    for gold, pred in sorted({(g, p) for _, g, p in pairs}):
+        groups.setdefault(("", gold), []).append(pred)
+    outcome = {row[1:3]: row[3:] for row in _run_groups(groups, {"": spark}, limits)}
+    return spark.createDataFrame([(i, *outcome[g, p]) for i, g, p in pairs], REPORT)
+
+
+def compare_pairs(pairs: DataFrame, open_database: Callable[[SparkSession, str], None], limits: Limits = Limits(), chunk: int = 500) -> DataFrame:
+    """Report row (db_id and ``REPORT``) per row of ``pairs`` (pair_id, db_id, gold, pred), each run in its own database.
+
+    Every db_id has an isolated session, whose views ``open_database(session, db_id)`` registers: equal names in two
+    databases do not meet, and the caller's views are not seen. The driver holds ``chunk`` distinct pairs and their outcomes
+    at a time; outcomes are appended to the shared folder and joined back. Pairs come sorted by database and gold
+    text, so that a gold text runs once in a chunk. Defined results: a null id or text counts as empty (an empty text fails),
+    repeated rows share one run, an empty table gives an empty report; further columns are not read."""
+    spark = pairs.sparkSession
+    named = pairs.select("pair_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("db_id", "gold", "pred")])
+    folder = scratch_path(spark, "outcomes")
+    schema = f"db_id STRING, gold STRING, pred STRING, {REPORT.split(', ', 1)[1]}"
+    spark.createDataFrame([], schema).write.parquet(folder)
+    rows = named.select("db_id", "gold", "pred").distinct().orderBy("db_id", "gold", "pred").toLocalIterator()
+    sessions: dict[str, SparkSession] = {}
+    while part := list(itertools.islice(rows, chunk)):
+        groups: dict[tuple[str, str], list[str]] = {}
+        for db, gold, pred in part:
+            groups.setdefault((db, gold), []).append(pred)
+        sessions = {db: sessions.get(db) for db, _ in groups}  # databases behind this chunk do not come back
+        for db in sessions:
+            if sessions[db] is None:
+                sessions[db] = spark.newSession()
+                open_database(sessions[db], db)
+        spark.createDataFrame(_run_groups(groups, sessions, limits), schema).write.mode("append").parquet(folder)
+    outcomes = spark.read.schema(schema).parquet(folder)
+    return named.join(outcomes, ["db_id", "gold", "pred"]).select("db_id", "pair_id", *_OUTCOME)
 
 
 def drop_bad_gold(report: DataFrame, allow_empty: bool = False) -> DataFrame:

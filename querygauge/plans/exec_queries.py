@@ -106,7 +106,7 @@ def _set_equal(p: Pair) -> str:
     return f"CAST((SELECT count(*) FROM ({diff})) = 0 AS INT)"
 
 
-def _text(sql: str, kinds: str, ok: bool, side: str) -> str:
+def _text(sql: str, kinds: str, ok: bool, side: str, limit: str = " LIMIT 100") -> str:
     """Text of one side, built by the checking engine."""
     if _null(sql):
         return "'null'"
@@ -117,11 +117,11 @@ def _text(sql: str, kinds: str, ok: bool, side: str) -> str:
     row = "'(' || " + " || ', ' || ".join(cells) + (" || ',)'" if len(names) == 1 else " || ')'")
     order = "" if re.search(r"(?is)\border by\b[^()]*$", sql) else " ORDER BY ALL NULLS FIRST"
     quoted = "CASE WHEN contains(r, '''') THEN '\"' || r || '\"' ELSE '''' || r || '''' END"
-    return f"(SELECT '[' || coalesce(string_agg({quoted}, ', ' ORDER BY r), '') || ']' FROM (SELECT {row} AS r FROM (SELECT * FROM ({sql}) AS q({', '.join(names)}){order} LIMIT 100)))"
+    return f"(SELECT '[' || coalesce(string_agg({quoted}, ', ' ORDER BY r), '') || ']' FROM (SELECT {row} AS r FROM (SELECT * FROM ({sql}) AS q({', '.join(names)}){order}{limit})))"
 
 
-def _texts(p: Pair) -> tuple[str, str]:
-    return _text(p.gold, p.gold_kinds, p.gold_ok, "real"), _text(p.pred, p.pred_kinds, p.pred_ok, "pred")
+def _texts(p: Pair, limit: str = " LIMIT 100") -> tuple[str, str]:
+    return _text(p.gold, p.gold_kinds, p.gold_ok, "real", limit), _text(p.pred, p.pred_kinds, p.pred_ok, "pred", limit)
 
 
 def _status(sql: str, ok: bool) -> str:
@@ -134,10 +134,11 @@ def _rows(p: Pair) -> str:
 
 def _columns(i: int, p: Pair) -> str:
     gold, pred = _texts(p)
+    whole_gold, whole_pred = _texts(p, "")
     chars = lambda x: f"list_sort(list_distinct(string_split({x}, '')))"
     return (
         f"SELECT CAST({i} AS BIGINT) AS pair_id, '{_status(p.gold, p.gold_ok)}' AS gold_status, '{_status(p.pred, p.pred_ok)}' AS pred_status, "
-        f"CAST({_rows(p)} AS BIGINT) AS gold_rows, {_set_equal(p)} AS set_equal, CAST({gold} = {pred} AS INT) AS top_equal, CAST({chars(gold)} = {chars(pred)} AS INT) AS char_equal"
+        f"CAST({_rows(p)} AS BIGINT) AS gold_rows, {_set_equal(p)} AS set_equal, CAST({whole_gold} = {whole_pred} AS INT) AS bag_equal, CAST({gold} = {pred} AS INT) AS top_equal, CAST({chars(gold)} = {chars(pred)} AS INT) AS char_equal"
     )
 
 
@@ -235,3 +236,64 @@ def _(t):
 @query("exec_charset_match", _tops("char_equal"))
 def _(t):
     return _compare_tops(t, "char_equal")
+
+
+# --- whole results as multisets; pairs in databases of their own ----------------------------------
+
+_BAGS = {
+    "same": _TOPS["same"],
+    "duplicates": _TOPS["duplicates"],
+    "behind row 100": ("SELECT l_orderkey, l_linenumber FROM lineitem", "SELECT l_orderkey, CASE WHEN l_orderkey = (SELECT max(l_orderkey) FROM lineitem) THEN -1 ELSE l_linenumber END FROM lineitem"),
+    "one count": ("SELECT o_orderstatus FROM orders", "SELECT CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN 'F' ELSE o_orderstatus END FROM orders UNION ALL SELECT 'F' WHERE false"),
+}
+
+
+def _surplus(a: str, b: str) -> str:
+    return f"(SELECT count(*) FROM (({a}) EXCEPT ALL ({b})))"
+
+
+@query(
+    "exec_whole_bag",
+    " UNION ALL ".join(
+        f"SELECT '{k}' AS name, (SELECT count(*) FROM ({g})) AS gold_rows, (SELECT count(*) FROM ({p})) AS pred_rows, {_surplus(g, p)} AS only_gold, {_surplus(p, g)} AS only_pred"
+        for k, (g, p) in _BAGS.items()
+    ),
+)
+def _(t):
+    out = None
+    for name, (gold, pred) in _BAGS.items():
+        t.register(f"{gold} {pred}")
+        one = E.bag_counts(E.run_query(t.spark, gold), E.run_query(t.spark, pred)).select(F.lit(name).alias("name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "exec_by_database",
+    """
+    WITH dbs AS (SELECT unnest(['credit', 'debit']) AS db_id), kinds AS (SELECT unnest([0, 1]) AS k),
+    sizes AS (
+      SELECT r_regionkey, db_id, count(c_custkey) AS gold_rows
+      FROM region CROSS JOIN dbs LEFT JOIN nation ON n_regionkey = r_regionkey
+      LEFT JOIN customer ON c_nationkey = n_nationkey AND (c_acctbal >= 0) = (db_id = 'credit')
+      GROUP BY r_regionkey, db_id
+    )
+    SELECT db_id, CAST(r_regionkey * 2 + k AS BIGINT) AS pair_id, 'ok' AS gold_status, 'ok' AS pred_status, gold_rows,
+      CAST(k = 0 OR db_id = 'credit' OR gold_rows = 0 AS INT) AS set_equal, CAST(k = 0 OR db_id = 'credit' OR gold_rows = 0 AS INT) AS bag_equal
+    FROM sizes CROSS JOIN kinds
+    """,
+)
+def _(t):
+    """Two databases with a table ``customer`` each; one pair per region and prediction, made from the region table."""
+
+    def open_database(session, db_id):
+        customers, nations = (session.read.parquet(f"{t.folder}/{name}.parquet") for name in ("customer", "nation"))
+        customers.filter(F.col("c_acctbal") >= 0 if db_id == "credit" else F.col("c_acctbal") < 0).createOrReplaceTempView("customer")
+        nations.createOrReplaceTempView("nation")
+
+    gold = "SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = %d"
+    same = "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = %d)"
+    region = t.region.select("r_regionkey", F.explode(F.array(F.lit("credit"), F.lit("debit"))).alias("db_id"))
+    forms = region.select("*", F.posexplode(F.array(F.lit(same), F.lit(f"{same} AND c_acctbal >= 0"))).alias("k", "form"))
+    pairs = forms.select((F.col("r_regionkey") * 2 + F.col("k")).cast("bigint").alias("pair_id"), "db_id", F.format_string(gold, "r_regionkey").alias("gold"), F.expr("format_string(form, r_regionkey)").alias("pred"))
+    return E.compare_pairs(pairs, open_database).select("db_id", "pair_id", "gold_status", "pred_status", "gold_rows", "set_equal", "bag_equal")

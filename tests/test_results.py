@@ -77,3 +77,51 @@ def test_only_queries_are_run(spark, text):
     with pytest.raises(Exception):
         E.run_query(spark, text)
     assert [tuple(r) for r in E.run_query(spark, "WITH t AS (SELECT * FROM victim) SELECT a FROM t ORDER BY a").collect()] == [(1,)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT java_method('java.lang.System', 'setProperty', 'querygauge.probe', 'x')",
+        "SELECT 1 WHERE reflect('java.lang.System', 'setProperty', 'querygauge.probe', 'x') IS NULL",
+        "SELECT * FROM VALUES (try_reflect('java.lang.System', 'setProperty', 'querygauge.probe', 'x'))",
+        "WITH t AS (SELECT java_method('java.lang.System', 'setProperty', 'querygauge.probe', 'x') AS a) SELECT a FROM t",
+        "SELECT (SELECT max(system.builtin.java_method('java.lang.System', 'setProperty', 'querygauge.probe', 'x')))",
+        "SELECT IDENTIFIER('java_method')('java.lang.System', 'setProperty', 'querygauge.probe', 'x')",
+        "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
+        "SELECT 1 WHERE EXISTS (SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`)",
+    ],
+)
+def test_texts_reach_neither_the_jvm_nor_files(spark, text):
+    with pytest.raises(Exception):
+        E.run_query(spark, text).collect()
+    assert spark._jvm.java.lang.System.getProperty("querygauge.probe") is None
+    assert E.compare_all(spark, [(1, "SELECT 1", text)]).first()["pred_status"] == "error"
+
+
+def test_results_that_differ_behind_the_first_rows(spark):
+    row = E.compare_all(spark, [(1, "SELECT id FROM range(500)", "SELECT id + id DIV 499 FROM range(500)")]).first()
+    assert (row["gold_rows"], row["set_equal"], row["bag_equal"], row["top_equal"]) == (500, 0, 0, 1)
+    counts = E.bag_counts(E.run_query(spark, "SELECT * FROM VALUES (1), (1), (2), (NULL)"), E.run_query(spark, "SELECT * FROM VALUES (1), (2), (2), (NULL), (NULL)"))
+    assert tuple(counts.first()) == (4, 5, 1, 2)
+    assert tuple(E.bag_counts(E.run_query(spark, "SELECT 1 WHERE false"), E.run_query(spark, "SELECT 1, 2 WHERE false")).first()) == (0, 0, 0, 0)
+
+
+def test_each_database_has_its_own_views(spark):
+    opened = []
+
+    def open_database(session, db_id):
+        opened.append(db_id)
+        session.sql("SELECT 1 AS a" if db_id == "one" else "SELECT 2 AS a").createOrReplaceTempView("own")
+
+    spark.sql("SELECT 9 AS a").createOrReplaceTempView("outside")
+    gold, data = "SELECT a FROM own", []
+    for i, (db, pred) in enumerate([("one", "SELECT 1"), ("two", "SELECT 1"), ("two", "SELECT 2"), ("one", "SELECT a FROM outside"), (None, "SELECT 2"), ("one", None), ("one", "null"), ("one", "SELECT 1")]):
+        data.append((i, db, gold, pred, "x"))
+    pairs = spark.createDataFrame(data, "pair_id bigint, db_id string, gold string, pred string, gold_status string")
+    for chunk in (500, 1):
+        opened.clear()
+        got = {r["pair_id"]: (r["pred_status"], r["bag_equal"]) for r in E.compare_pairs(pairs, open_database, chunk=chunk).collect()}
+        assert got == {0: ("ok", 1), 1: ("ok", 0), 2: ("ok", 1), 3: ("error", 0), 4: ("ok", 1), 5: ("error", 0), 6: ("null", 0), 7: ("ok", 1)}
+        assert sorted(opened) == ["", "one", "two"]
+    assert E.compare_pairs(pairs.limit(0), open_database).count() == 0
