@@ -127,6 +127,25 @@ def _(t):
     return catalog.catalog_samples(t.spark, t.folder, _SAMPLED)
 
 
+_GIVEN = [*TABLES, "pages", "embeddings"]
+_DDL_TYPES = "CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' ELSE replace(replace(data_type, 'VARCHAR', 'TEXT'), 'DOUBLE', 'REAL') END"
+
+
+@query(
+    "catalog_of_given_tables",
+    f"""SELECT table_name, 'CREATE TABLE "' || upper(table_name) || '" (' || string_agg(column_name || ' ' || {_DDL_TYPES}, ', ' ORDER BY ordinal_position) || ')' AS ddl
+    FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{n}'" for n in _GIVEN)}) GROUP BY table_name""",
+)
+def _(t):
+    return catalog.catalog_of(t.spark, {name: t.spark.read.parquet(f"{t.folder}/{name}.parquet") for name in _GIVEN})
+
+
+@query("catalog_samples_of_pages", """SELECT 'pages' AS table_name, 'CREATE TABLE "PAGES" (page_id BIGINT, url TEXT, html TEXT)' || chr(10) || '/*' || chr(10)
+    || string_agg(page_id || ' | ' || coalesce(url, 'None') || ' | ' || coalesce(html, 'None'), chr(10) ORDER BY page_id) || chr(10) || '*/' AS block FROM (SELECT * FROM pages ORDER BY page_id LIMIT 3)""")
+def _(t):
+    return catalog.samples_of({"pages": t.spark.read.parquet(f"{t.folder}/pages.parquet")}, {"pages": ["page_id"]})
+
+
 @query(
     "sink_roundtrip",
     "SELECT CASE WHEN conv_id % 10 = 0 THEN 'test' ELSE 'train' END AS part, role, text AS content, count(*) AS n FROM conversations GROUP BY ALL",

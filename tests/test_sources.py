@@ -43,6 +43,15 @@ def test_catalog(spark, smoke_dir):
     assert block.startswith(rows["d"]) and block.count("\n") == 4
 
 
+def test_catalog_of_nested_tables(spark):
+    df = spark.sql("SELECT 2 AS id, array(named_struct('x', 1.5D, 'tags', map('k', array(1L)))) AS rows, CAST(1 AS DECIMAL(9,2)) AS price, X'0AFF' AS raw UNION ALL SELECT 1, NULL, NULL, NULL")
+    ddl = 'CREATE TABLE "T" (id INTEGER, rows STRUCT(x REAL, tags MAP(TEXT, BIGINT[]))[], price DECIMAL(9,2), raw BINARY)'
+    assert [tuple(r) for r in catalog.catalog_of(spark, {"t": df}).collect()] == [("t", ddl)]
+    block = catalog.samples_of({"t": df}, {"t": ["id"]}).first()["block"]
+    assert block == ddl + '\n/*\n1 | None | None | None\n2 | [{"x":1.5,"tags":{"k":[1]}}] | 1.00 | 0AFF\n*/'
+    assert catalog.samples_of({"t": df.limit(0)}, {"t": ["id"]}).first()["block"] == ddl + "\n/*\n\n*/"
+
+
 def test_sinks_append(spark, tmp_path):
     means = spark.createDataFrame([("m", 0.5)], "metric STRING, value DOUBLE")
     for _ in range(2):
