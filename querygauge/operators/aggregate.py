@@ -104,12 +104,14 @@ def repeat_sample(df: DataFrame, key: str, n: int = 120, iterations: int = 5, se
     """(iteration, key): n keys per iteration; all keys if there are fewer.
 
     Without replacement each iteration takes the first n keys in its own hash order; the constant limit
-    keeps at most n keys per task and iteration before the shuffle.  With replacement each draw takes a
-    position of the hash order; draws are spread over tasks.
+    keeps at most n keys per task and iteration before the shuffle.  With replacement draw j of an iteration takes
+    the row ahead of which stand md5(seed|iteration|j), its first 15 hex digits modulo the row count, rows of the hash order.
     """
     keys = df.select(key)
     if replace:
-        numbers = keys.sparkSession.range(n * iterations).select((F.col("id") % iterations).cast("int").alias("iteration"), F.xxhash64("id", F.lit(seed)).alias("draw"))
+        name = F.concat_ws("|", F.lit(str(seed)), F.col("iteration").cast("string"), F.expr(f"CAST(id DIV {iterations} AS STRING)"))
+        numbers = keys.sparkSession.range(n * iterations).withColumn("iteration", (F.col("id") % iterations).cast("int"))
+        numbers = numbers.select("iteration", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint").alias("draw"))
         return keys_at(keys, key, numbers, seed).select("iteration", key)
     spread = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
     hashed = spread.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("iteration").cast("string"), F.lit("|"), F.col(key).cast("string"))))

@@ -124,9 +124,18 @@ def keys_at(df: DataFrame, key: str, draws: DataFrame, seed: int = 42, digits: i
     position = F.pmod(F.col("draw"), F.lit(n))  # rows ahead of the wanted one
     spots = draws.withColumn("_p", position).withColumn("_i", F.size(F.filter(ahead, lambda x: x <= F.col("_p"))))
     spots = spots.select("*", F.element_at(names, F.col("_i")).alias("_b"), (F.col("_p") - F.element_at(ahead, F.col("_i")) + 1).alias("_r")).drop("_p", "_i")
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_k")).cast("bigint")
-    ranked = hashed.select("_b", "_k", rank.alias("_r"))
-    return spots.join(ranked, ["_b", "_r"]).drop("_b", "_r").withColumnRenamed("_k", key)
+    # rows of drawn buckets only, counted again by longer prefixes: what is sorted stays small in a bucket of any size
+    wanted = F.broadcast(spots.select("_b").distinct())  # at most 16**digits names
+    inside = hashed.join(wanted, "_b", "left_semi").withColumn("_f", _bucket(F.col("_h"), digits + DIGITS))
+    counts = inside.groupBy("_b", "_f").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_b").orderBy("_f").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    finer = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_before", F.col("_upto") - F.col("_n"))
+    holds = spots.join(finer, "_b").filter((F.col("_before") < F.col("_r")) & (F.col("_r") <= F.col("_upto")))
+    placed = holds.withColumn("_r", F.col("_r") - F.col("_before")).drop("_b", "_n", "_upto", "_before")
+    rows = inside.select("_f", "_h", "_k").join(placed.select("_f").distinct(), "_f", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("_f").orderBy("_h", "_k")).cast("bigint")
+    ranked = rows.select("_f", "_k", rank.alias("_r"))
+    return placed.join(ranked, ["_f", "_r"]).drop("_f", "_r").withColumnRenamed("_k", key)
 
 
 def smallest_class_cuts(df: DataFrame, cls: str, key: str, within: list[str], seed: int = 42, digits: int = DIGITS) -> DataFrame:

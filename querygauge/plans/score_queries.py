@@ -125,9 +125,15 @@ def _(t):
     return A.repeat_sample(t.events.select(F.col("event_id").alias("pair_id")), "pair_id").select(F.col("iteration").cast("bigint").alias("iteration"), "pair_id")
 
 
-@query("a_repeat_sample_replace")
+@query(
+    "a_repeat_sample_replace",
+    """WITH k AS (SELECT event_id AS pair_id, row_number() OVER (ORDER BY md5('42|' || event_id), event_id) - 1 AS ahead, count(*) OVER () AS n FROM events),
+        d AS (SELECT i AS iteration, CAST('0x' || substr(md5('42|' || i || '|' || j), 1, 15) AS BIGINT) AS draw FROM range(5) a(i), range(120) b(j))
+      SELECT iteration, pair_id FROM d JOIN k ON d.draw % k.n = k.ahead""",
+)
 def _(t):
-    return A.repeat_sample(t.events.select(F.col("event_id").alias("pair_id")), "pair_id", replace=True)
+    drawn = A.repeat_sample(t.events.select(F.col("event_id").alias("pair_id")), "pair_id", replace=True)
+    return drawn.select(F.col("iteration").cast("bigint").alias("iteration"), "pair_id")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from querygauge.fixed_values import ANSWER_PUNCTUATION, FIXED_NOW, LANGUAGE_TAGS, VITAL_RANGES
 from querygauge.functions import extract as X
 from querygauge.functions.clauses import CYPHER_ALL, CYPHER_MAIN, LISTED, SQL_ALL, mask_variables
-from querygauge.operators import clauses as C, graphs as G, textscore as M
+from querygauge.operators import clauses as C, graphs as G, matching, textscore as M
 from querygauge.operators.placement import spread
 from querygauge.plans import fixtures as fx
 from querygauge.plans.registry import Tables, query, run_scorers
@@ -329,6 +329,33 @@ def _(t):
     return M.map_similarity(_maps(t), "pair_id", "pm", "gm", native=True).select("pair_id", F.round("map_similarity", 6).alias("similarity"))
 
 
+# golds of all lengths: words of part names, names, and the sentences of the benchmark passages
+_PASSAGES = """SELECT DISTINCT gold FROM (
+  SELECT p_name AS gold FROM part UNION ALL SELECT split_part(p_name, ' ', 1) FROM part UNION ALL SELECT split_part(p_name, ' ', 2) FROM part
+  UNION ALL SELECT upper(replace(split_part(text, '.', 1), 'ß', 'SS')) FROM benchmark UNION ALL SELECT trim(split_part(text, '.', 2)) FROM benchmark) u
+WHERE gold <> ''"""
+
+
+@query("m_contains_batch", f"SELECT g.gold, d.doc_id FROM ({_PASSAGES}) g JOIN documents d ON contains(lower(d.text), lower(g.gold))")
+def _(t):
+    return matching.contains_join(t.sql(_PASSAGES), t.documents, "gold", "gold", "doc_id", "text")
+
+
+_PART_GOLDS = "SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS gold FROM part"
+_PART_PREDS = """SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN replace(p_name, 'e', '') || ' ' || p_type || ' ' || p_brand WHEN 1 THEN p_name || '  ' || lower(p_type) || p_brand
+  WHEN 2 THEN p_name || ' ' || p_brand || ' ' || p_type ELSE p_type || p_name || '#' END AS pred FROM part"""
+
+
+@query(
+    "m_best_gold",
+    f"""WITH v AS (SELECT pred, gold, 1 - levenshtein(gold, pred) / greatest(length(gold), length(pred)) AS s FROM ({_PART_PREDS}) p, ({_PART_GOLDS}) g),
+        b AS (SELECT pred, gold, s, row_number() OVER (PARTITION BY pred ORDER BY s DESC, gold) AS r FROM v WHERE s >= 0.8 - 1e-9)
+      SELECT p.pred, b.gold, round(b.s, 6) AS similarity FROM ({_PART_PREDS}) p LEFT JOIN b ON b.pred = p.pred AND b.r = 1""",
+)
+def _(t):
+    return matching.best_gold(t.sql(_PART_GOLDS), t.sql(_PART_PREDS), "gold", "pred").withColumn("similarity", F.round("similarity", 6))
+
+
 # --- clauses ------------------------------------------------------------------------------------
 
 _SCAN = "|".join(sorted((k.replace(" ", "\x02\x03") for k in SQL_ALL if k != "CASE WHEN"), key=len, reverse=True))
