@@ -1,17 +1,20 @@
 """Toxicity by weak supervision.
 
-Voters are words of a public lexicon, text patterns, and stems: words and word beginnings that labelled toxic rows hold
-far more often than other labelled rows (counted over all labelled rows). A generative label model (naive Bayes with
-a fire rate of every voter in each class, fitted by expectation maximisation) gives every sampled row a posterior; a voter's
-evidence is divided by how strongly it is correlated, within a class, with others, so that near copies of one voter do
-not count many times. The known label is one more voter of fixed accuracy. A logistic regression on what voters say, and
-on how many strong voters speak (none, one, two, more), is trained on the posteriors and scores whole texts.
-
-Label model and regression are fitted on a bounded sample (``MOST_ROWS`` labelled rows with the smallest hash of the
-id); their voters' votes, not their texts, reach the driver. Everything else covers all rows.
+Voters are words of a public lexicon, text patterns, and stems: words (and, by parameter, word beginnings) that labelled
+toxic rows hold far more often than other labelled rows. A generative label model (naive Bayes with a fire rate of every voter in each
+class, fitted by expectation maximisation) gives every sampled row a posterior; a voter's evidence is divided by how
+strongly it is correlated, within a class, with others, so that near copies of one voter do not count many times. The
+given label is one more voter: it holds the classes in place while the others are fitted, then its own accuracy in each class
+is estimated from the rows whose votes are sure; where many labels are wrong the votes overrule it. A logistic regression on what voters say, and on how many
+strong voters speak (none, one, two, more), is trained on the posteriors and scores whole texts.
+
+All that is learned comes from a bounded sample: the ``most_rows`` labelled ids with the smallest hash; an id counts once,
+with the text of smallest hash. Ids are chosen from ids alone and broadcast, so texts are never shuffled; votes, not texts,
+reach the driver. Scoring covers all rows.
 
 Defined results: a null or empty text has no vote and gets the score of such a text; labels that are null are unknown; a row labelled
-twice is toxic if one label says so. Without a label of either class the score is the prior, 0 if there is none.
+twice is toxic if one label says so; rows with a null id are scored but not learned from. Without a label of either class
+the score is that of the other class (1e-13 off 0 or 1), 0 if there is no label. Other columns of the tables are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +31,14 @@ from querygauge.llm.common import letter_words, slices, text_or_empty
 #: A public lexicon, and patterns (RE2) over the whole text.
 LEXICON = tuple("idiot idiots moron morons stupid dumb loser losers pathetic worthless scum trash clown disgusting fool jerk creep freak filth vermin garbage hate kill idiota imbécile connard débile dummkopf arschloch trottel estúpido imbécil tonto basura".split())
 PATTERNS = (r"(?i)\byou(?:'re| are) (?:an? |so |such |all )", r"[!?]{3,}", r"\b\p{Lu}{5,}\b", r"(?i)\bshut up\b", r"(?i)\bgo (?:to hell|away|die)\b", r"[*#@$%]{3,}")
-STEM_SIZES = (4, 5, 6, 7)  # letters of word beginnings that may become voters
+SHORTEST = 4  # letters of a word that may become a voter
+STEM_SIZES: tuple[int, ...] = ()  # letters of word beginnings that may vote as well; none: with 4 to 7, 13 of 870 clean held-out rows of sf0.1 were flagged
 MOST_STEMS = 500
 MOST_ROWS = 8_000
 STRONG = 20.0  # how many times likelier a voter fires on toxic rows, by the label model, to be a strong one
-LABEL_TRUST = 0.998  # how often a given label is taken to be right
-MOST_EVIDENCE = 4.0  # log odds that all votes on a row may add up to, so that a label still counts
+START_TRUST = 0.998  # how often a given label is taken to be right while voters are fitted, and at most afterwards
+SURE = 2.0  # log odds of votes that are sure enough to judge labels by
+MOST_EVIDENCE = 4.0  # log odds that all votes on a row may add up to: voters are not as independent as the model has it
 
 
 @dataclass(frozen=True)
@@ -49,13 +54,22 @@ class Model:
 
 
 def stem_counts(texts: DataFrame) -> DataFrame:
-    """(size, stem, toxic, other): rows of each class that hold a stem; from (text, toxic)."""
-    words = F.filter(F.split(F.lower(text_or_empty(F.col("text"))), r"[^\p{L}]+"), lambda w: F.length(w) >= min(STEM_SIZES))
-    whole = texts.select("toxic", F.array_distinct(words).alias("w"))
-    sized = [F.transform(F.array_distinct(F.transform(F.filter("w", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.substring(w, 1, n))), lambda s, n=n: F.struct(F.lit(n).alias("size"), s.alias("stem"))) for n in STEM_SIZES]
-    every = F.concat(F.transform("w", lambda s: F.struct(F.lit(0).alias("size"), s.alias("stem"))), *sized)
-    each = whole.select("toxic", F.explode(every).alias("s")).groupBy("s.size", "s.stem")
-    return each.agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("other"))
+    """(size, stem, toxic, other): rows of each class that hold a stem; from (text, toxic). Words are those that vote."""
+
+    def stems_of(batches):
+        for b in batches:
+            for at, part in slices(b.column(0)):
+                first, words = letter_words(part)
+                coded = words.dictionary_encode()
+                names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                for r in range(len(part)):
+                    held = [w for k in np.unique(index[first[r] : first[r + 1]]).tolist() if len(w := names[k]) >= SHORTEST]
+                    found = list({(0, w) for w in held} | {(n, w[:n]) for w in held for n in STEM_SIZES if len(w) > n})
+                    label = b.column(1)[at + r].as_py()
+                    yield pa.RecordBatch.from_pydict({"size": pa.array([n for n, _ in found], pa.int32()), "stem": pa.array([w for _, w in found], pa.string()), "toxic": pa.array([label] * len(found), pa.int32())})
+
+    each = texts.select(text_or_empty(F.col("text")).alias("text"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(stems_of, "size int, stem string, toxic int")
+    return each.groupBy("size", "stem").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("other"))
 
 
 def pick_stems(counts: DataFrame, toxic: int, other: int, most: int = MOST_STEMS) -> list[tuple[int, str]]:
@@ -105,9 +119,9 @@ def votes(column: pa.Array, stems: dict[tuple[int, str], int], tag: str = "") ->
 def label_model(said: np.ndarray, labels: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of class 1 of each row, strength of each voter: its fire rates' ratio), from votes (rows x voters, 0/1) and labels (1, 0, or -1 where unknown)."""
     said = said.astype(np.float64)
-    trust = np.where(labels == 1, LABEL_TRUST, np.where(labels == 0, 1 - LABEL_TRUST, 0.5))
+    trust = np.where(labels == 1, START_TRUST, np.where(labels == 0, 1 - START_TRUST, 0.5))
     q = np.where(labels >= 0, trust, np.clip(said.mean(axis=1) * 2, 0.05, 0.95))
-    prior_label = np.log(trust / (1 - trust))
+    of_label = np.log(trust / (1 - trust))
     for _ in range(rounds):
         # labels hold the classes in place: half of a labelled row's weight is the label's
         q = np.where(labels >= 0, (q + trust) / 2, q)
@@ -121,10 +135,15 @@ def label_model(said: np.ndarray, labels: np.ndarray, rounds: int = 15) -> tuple
             spread = np.maximum(spread, np.where(rho > 0.3, rho, 0).sum(axis=1))
         share = 1 / np.maximum(spread, 1)
         fires, silent = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        evidence = said @ (share * fires) + (1 - said) @ (share * silent)
-        logit = np.log(prior / (1 - prior)) + np.clip(evidence, -MOST_EVIDENCE, MOST_EVIDENCE) + prior_label
-        q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return q, rate[1] / rate[0]
+        evidence = np.clip(said @ (share * fires) + (1 - said) @ (share * silent), -MOST_EVIDENCE, MOST_EVIDENCE)
+        q = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + evidence + of_label)))
+    # the labels' own accuracy: how many agree with votes that are sure of a class
+    right = []
+    for c, sure in ((0, evidence <= -SURE), (1, evidence >= SURE)):
+        of = sure & (labels >= 0)
+        right.append(float(np.clip(((labels[of] == c).sum() + START_TRUST) / (of.sum() + 1), 0.5, START_TRUST)))
+    of_label = np.where(labels == 1, np.log(right[1] / (1 - right[0])), np.where(labels == 0, np.log((1 - right[1]) / right[0]), 0))
+    return 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + evidence + of_label))), rate[1] / rate[0]
 
 
 def steps_of(said: np.ndarray, strong: np.ndarray) -> np.ndarray:
@@ -147,41 +166,49 @@ def linear(said: np.ndarray, target: np.ndarray, ridge: float = 0.5, rounds: int
     return w[:-1], float(w[-1])
 
 
+def sampled(ids: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of (i, ...), one each id, those with the smallest hash, as a local table that may be broadcast.
+
+    Rows far above the cut are dropped before the sort, so what meets in one task is bounded as well."""
+    ids = ids.filter(F.col("i").isNotNull()).dropDuplicates(["i"])
+    share = min(1.0, 2 * most / max(1, ids.count()))
+    low = ids.withColumn("h", F.xxhash64("i")).filter(F.pmod("h", F.lit(1_000_000_007)) <= int(share * 1_000_000_007))
+    rows = low.orderBy(F.pmod("h", F.lit(1_000_000_007)), "i").limit(most).drop("h")
+    return ids.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS) -> Model:
     spark = docs.sparkSession
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text")).join(known, "i")
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"))
+    held = known.join(texts.select("i"), "i", "left_semi")
+    marked = sampled(held, most_rows)
+    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     stems: dict[tuple[int, str], int] = {}
-    for s in [*[(0, w) for w in LEXICON], *(pick_stems(stem_counts(texts), toxic, other) if toxic else [])]:
+    for s in [*[(0, w) for w in LEXICON], *(pick_stems(stem_counts(texts.join(F.broadcast(marked), "i")), toxic, other) if toxic else [])]:
         stems.setdefault(s, len(stems))
     if not toxic or not other:
         none = np.zeros(len(stems) + len(PATTERNS))
         return Model(stems, none, np.zeros(3), none > 0, 30.0 if toxic else -30.0)
-    share = min(1.0, most_rows / (toxic + other))
-    sample = texts.filter(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(share * 1_000_000))  # about most_rows rows
     shared = spark.sparkContext.broadcast(stems)
 
     def vote(batches):
         for b in batches:
-            for at, rows, voters in votes(b.column(1), shared.value):
-                part = {}
+            said: list[list[int]] = [[] for _ in range(b.num_rows)]
+            for at, rows, voters in votes(b.column(3), shared.value):
                 for r, v in zip(rows.tolist(), voters.tolist()):
-                    part.setdefault(r, []).append(v)
-                yield pa.RecordBatch.from_pydict({"r": pa.array([b.column(0)[at + r].as_py() for r in part], pa.int64()), "v": pa.array(list(part.values()), pa.list_(pa.int32()))})
-
-    numbered = sample.select(F.xxhash64("i").alias("r"), "text")
-    fired = numbered.mapInArrow(vote, "r bigint, v array<int>").toArrow().to_pylist()
-    targets = sample.select(F.xxhash64("i").alias("r"), "toxic").toArrow().to_pylist()
-    row = {x["r"]: k for k, x in enumerate(targets)}
-    said = np.zeros((len(row), len(stems) + len(PATTERNS)), np.float32)
-    for x in fired:
-        said[row[x["r"]], x["v"]] = 1
-    given = np.zeros(len(row), np.int64)
-    for x in targets:
-        given[row[x["r"]]] = x["toxic"]
-    posterior, strength = label_model(said, given)
+                    said[at + r].append(v)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(said, pa.list_(pa.int32()))], ["i", "toxic", "h", "v"])
+
+    chosen = texts.join(F.broadcast(marked), "i").select("i", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("h"), "text")
+    kind = chosen.schema["i"].dataType.simpleString()
+    spoken = chosen.mapInArrow(vote, f"i {kind}, toxic int, h bigint, v array<int>").groupBy("i", "toxic").agg(F.min(F.struct("h", "v")).alias("s"))
+    rows = spoken.orderBy("i").select("toxic", "s.v").toArrow().to_pylist()
+    said = np.zeros((len(rows), len(stems) + len(PATTERNS)), np.float32)
+    for k, x in enumerate(rows):
+        said[k, x["v"]] = 1
+    posterior, strength = label_model(said, np.array([x["toxic"] for x in rows], np.int64))
     strong = strength >= STRONG
     weights, bias = linear(np.hstack([said, steps_of(said, strong)]), posterior)
     return Model(stems, weights[:-3], weights[-3:], strong, bias)
