@@ -136,9 +136,13 @@ def _repeat_lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(F.col(text_col))
     rows = cut_lineage(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), chunk_list(text).alias("l")))
     placed = rows.select("id", "h", F.explode("l").alias("x")).select("id", "h", "x.digest", "x.at")
+    # digests alone are counted first: places move only where their digest is seen again
+    often = placed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    again = cut_lineage(placed.join(often, "digest", "left_semi"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "at")
-    often = placed.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first")
-    found = placed.join(often, "digest").select("id", "h", "at", place.eqNullSafe(F.col("first")).cast("int").alias("kept"))
+    ends = again.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    kept = ends.filter(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first")  # rows that repeat as a whole have one place
+    found = again.join(kept, "digest").select("id", "h", "at", place.eqNullSafe(F.col("first")).cast("int").alias("kept"))
     lists = found.groupBy("id", "h").agg(F.collect_set(F.struct("at", "kept")).alias("found"))  # chunks of one document
     return lists.select("id", "h", _runs("found").alias("runs"))
 
