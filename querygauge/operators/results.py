@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from querygauge.functions.dialect import spark_names
 from querygauge.session import scratch_path
 
 TOP = 100  # rows compared as text
@@ -81,6 +82,7 @@ def run_query(spark: SparkSession, sql: str) -> DataFrame:
     """Result of a query with columns by position.
 
     Any other statement, calls of JVM methods and relations other than temporary views are refused before they take effect."""
+    sql = spark_names(sql)
     require_query(spark, sql)
     df = spark.sql(sql)
     require_views(df)

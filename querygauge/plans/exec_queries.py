@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from querygauge.functions.dialect import open_dialect
 from querygauge.operators import results as E
 from querygauge.plans.registry import Tables, query
 
@@ -297,3 +298,24 @@ def _(t):
     forms = region.select("*", F.posexplode(F.array(F.lit(same), F.lit(f"{same} AND c_acctbal >= 0"))).alias("k", "form"))
     pairs = forms.select((F.col("r_regionkey") * 2 + F.col("k")).cast("bigint").alias("pair_id"), "db_id", F.format_string(gold, "r_regionkey").alias("gold"), F.expr("format_string(form, r_regionkey)").alias("pred"))
     return E.compare_pairs(pairs, open_database).select("db_id", "pair_id", "gold_status", "pred_status", "gold_rows", "set_equal", "bag_equal")
+
+
+# --- texts in the embedded-database dialect --------------------------------------------------------
+
+_MONTHS = """SELECT STRFTIME('%Y-%m', o_orderdate) AS month, COUNT(*) AS n, SUM(IIF(o_orderstatus = 'F', 1, 0)) AS done, MAX(INSTR(o_orderpriority, '-')) AS dash,
+  ROUND(MAX(JULIANDAY(o_orderdate)) - MIN(JULIANDAY(o_orderdate, 'start of month')), 4) AS days, MIN(DATETIME(o_orderdate, '+1 day')) AS next_day
+  FROM orders WHERE STRFTIME('%Y', 'now') >= STRFTIME('%Y', o_orderdate) GROUP BY STRFTIME('%Y-%m', o_orderdate)"""
+
+
+@query(
+    "exec_dialect",
+    """SELECT strftime(o_orderdate, '%Y-%m') AS c0, count(*) AS c1, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS c2, max(instr(o_orderpriority, '-')) AS c3,
+      round(max(julian(o_orderdate)) - min(julian(date_trunc('month', o_orderdate))), 4) AS c4, strftime(min(o_orderdate) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS c5
+      FROM orders GROUP BY strftime(o_orderdate, '%Y-%m')""",
+)
+def _(t):
+    """A time question as such texts ask it, run in a session of its own."""
+    session = t.spark.newSession()
+    open_dialect(session)
+    Tables(session, t.folder).register("orders")
+    return E.run_query(session, _MONTHS)

@@ -125,3 +125,21 @@ def test_each_database_has_its_own_views(spark):
         assert got == {0: ("ok", 1), 1: ("ok", 0), 2: ("ok", 1), 3: ("error", 0), 4: ("ok", 1), 5: ("error", 0), 6: ("null", 0), 7: ("ok", 1)}
         assert sorted(opened) == ["", "one", "two"]
     assert E.compare_pairs(pairs.limit(0), open_database).count() == 0
+
+
+def test_dialect_functions(spark):
+    from querygauge.functions.dialect import open_dialect, spark_names
+
+    session = spark.newSession()
+    open_dialect(session)
+    session.createDataFrame([("2024-02-29 13:05:09",), ("2023-12-31",), ("no time",), (None,)], "t string").createOrReplaceTempView("v")
+    text = "SELECT STRFTIME('%d.%m.%Y %H:%M:%S|%j|%w|%s|100%%', t), JULIANDAY(t), STRFTIME('%Y-%m-%d', t, '+1 month'), DATETIME(t, 'start of year'), IIF(t LIKE '%no%', 'IIF(', '1') FROM v"
+    got = [tuple(r) for r in E.run_query(session, text).collect()]
+    assert got[0] == ("29.02.2024 13:05:09|060|4|1709211909|100%", pytest.approx(2460370.045243, abs=1e-6), "2024-03-29", "2024-01-01 00:00:00", "1")
+    assert got[1][:4] == ("31.12.2023 00:00:00|365|0|1703980800|100%", 2460309.5, "2024-01-31", "2023-01-01 00:00:00")
+    assert got[2] == (None, None, None, None, "IIF(") and got[3][:4] == (None,) * 4
+    assert E.run_query(session, "SELECT STRFTIME('%Y', 'now')").first()[0].isdigit()
+    assert spark_names("SELECT iif (a, 'IIF(x', \"IIF(\")") == "SELECT IF (a, 'IIF(x', \"IIF(\")"
+    for refused in ("SELECT java_method('java.lang.System', 'nanoTime')", "SELECT STRFTIME(java_method('java.lang.System', 'lineSeparator'), 'now')"):
+        with pytest.raises(ValueError):
+            E.run_query(session, refused)
