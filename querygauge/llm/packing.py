@@ -93,7 +93,7 @@ def _marks_apart(column: pa.Array) -> pa.LargeStringArray:
 class Tokens:
     """Ids of texts by a tokenizer whose pieces never cross white space; each distinct word is encoded once.
 
-    Encoded words are kept while there are fewer than ``most``."""
+    Encoded words are kept while there are fewer than ``most``; then those that came again stay, up to half as many."""
 
     def __init__(self, path: str, most: int = 600_000):
         import os
@@ -111,6 +111,19 @@ class Tokens:
     def _clear(self) -> None:
         self.row: dict[str, int] = {}
         self.ids, self.end, self.stop = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.seen = np.zeros(0, np.int32)  # parts of the input that held a word
+
+    def _forget(self) -> None:
+        """Keep the words that came in two parts or more, the most frequent ones if they are many."""
+        most = self.most // 2
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argpartition(self.seen[keep], len(keep) - most)[len(keep) - most :]])
+        words, sizes = list(self.row), np.diff(self.end)[keep]  # words stand in the order of their rows
+        end = np.concatenate([[0], np.cumsum(sizes)])
+        self.ids = self.ids[np.repeat(self.end[keep] - end[:-1], sizes) + np.arange(end[-1])]
+        self.end, self.stop, self.seen = end, self.stop[keep], np.ones(len(keep), np.int32)
+        self.row = {words[k]: i for i, k in enumerate(keep.tolist())}
 
     def _learn(self, units: list[str]) -> None:
         new = [u for u in units if u not in self.row]
@@ -138,18 +151,21 @@ class Tokens:
         self.row.update(zip(order, range(first, first + len(order))))
         self.ids = np.concatenate([self.ids, *ids])
         self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(np.concatenate(sizes))])
+        self.seen = np.concatenate([self.seen, np.zeros(len(order), np.int32)])
         self.stop = np.concatenate([self.stop, np.fromiter((u[-1:] in STOPS or u[:1] in STOPS for u in order), bool, len(order))])
 
     def documents(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids with the end id, ends of sentences) of each text."""
         for _, part in slices(column):
             if len(self.row) > self.most:
-                self._clear()
+                self._forget()
             ends, flat = words_of(_marks_apart(part), BLANKS)
             coded = flat.dictionary_encode()
             words = coded.dictionary.to_pylist()
             self._learn(words)
-            row = np.fromiter((self.row[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+            own_row = np.array(list(map(self.row.__getitem__, words)), np.int64)
+            self.seen[own_row] += 1
+            row = own_row[coded.indices.to_numpy()] if len(words) else own_row
             start, size = self.end[row], self.end[row + 1] - self.end[row] if len(row) else np.zeros(0, np.int64)
             upto = np.concatenate([[0], np.cumsum(size)])
             where = np.repeat(start - upto[:-1], size) + np.arange(upto[-1])

@@ -334,3 +334,15 @@ def test_license_texts_tags_and_notices():
     assert scan("the mit of it all; permission is granted, use in source") == set()
     for _, keyword, _, _, pattern in license_scan.SIGNATURES:
         assert keyword in pattern, keyword  # else the prefilter would hide the rule
+
+
+def test_encoded_words_may_be_forgotten():
+    """Few kept words give the same ids as all words."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [prose(i, 200) + f" own{i}word. Again {i % 3}, ÉTÉ!" for i in range(60)] + [None, "", "<|endoftext|> A"]
+    whole, few = packing.Tokens(path), packing.Tokens(path, most=40)
+    for at in range(0, len(texts), 3):
+        part = pa.array(texts[at : at + 3], pa.string())
+        for (a, b), (c, d) in zip(whole.documents(part), few.documents(part), strict=True):
+            assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+    assert 0 < len(few.row) < len(whole.row) and len(few.row) == len(few.stop) == len(few.seen) == len(few.end) - 1
