@@ -135,16 +135,20 @@ def expected_counts(words: list[str], weight: np.ndarray, column: int, model: Mo
     return out
 
 
+def sampled(rows: DataFrame, per_language: int) -> DataFrame:
+    """About ``per_language`` rows of (h, l, t) for each language ``l``, by their hash ``h``."""
+    shares = rows.groupBy("l").agg((F.lit(per_language) / F.count("*")).alias("share"))
+    return rows.join(F.broadcast(shares), "l").filter(F.pmod("h", F.lit(1 << 40)) < F.col("share") * (1 << 40))  # broadcast: one row per language
+
+
 def train(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, rounds: int = 3) -> Model:
     """Piece probabilities from rows of ``docs`` with a text and a language.
 
-    The sample is about ``per_language`` rows a language, chosen by the hash of the id; one number for each piece and
-    language reaches the driver."""
+    The sample is about ``per_language`` rows a language, chosen by the hash of id and text, so rows of a null or repeated id
+    are sampled like others (rows equal in both stand or fall together); one number for each piece and language reaches the driver."""
     spark = docs.sparkSession
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = known.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
-    shares = rows.groupBy("l").agg((F.lit(per_language) / F.count("*")).alias("share"))
-    sample = rows.join(F.broadcast(shares), "l").filter(F.pmod("h", F.lit(1 << 40)) < F.col("share") * (1 << 40))  # broadcast: one row per language
+    sample = sampled(known.select(F.xxhash64(id_col, F.col(text_col).cast("string")).alias("h"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")), per_language)
     counts = sample.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).filter("w <> ''").groupBy("l", "w").count().coalesce(8).cache()
     langs = tuple(r["l"] for r in counts.select("l").distinct().orderBy("l").collect())
     if not langs:

@@ -346,3 +346,9 @@ def test_encoded_words_may_be_forgotten():
         for (a, b), (c, d) in zip(whole.documents(part), few.documents(part), strict=True):
             assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
     assert 0 < len(few.row) < len(whole.row) and len(few.row) == len(few.stop) == len(few.seen) == len(few.end) - 1
+
+
+def test_language_sample_is_bounded_with_null_ids(spark):
+    docs = spark.range(20_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("word "), "id").alias("t"), F.lit("en").alias("l"))
+    n = language_id.sampled(docs.select(F.xxhash64("doc_id", "t").alias("h"), "l", "t"), 600).count()
+    assert 450 < n < 750
