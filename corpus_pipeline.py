@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from querygauge.llm import language_id, line_dedup, mixing, near_dup, packing
-from querygauge.llm.common import read, remainder
+from querygauge.llm.common import read, remainder, unused
 from querygauge.session import scratch_path
 
 LEAST_CERTAIN = 0.5  # a document whose language is less probable is rejected
@@ -21,10 +21,14 @@ def _same_columns(docs: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter, or of no certain language, go."""
+    """Documents with a language; those without a letter, or of no certain language, go.
+
+    Null and empty texts have no letter and go; rows with a null or repeated id, and rows that repeat, are each judged by their
+    own text. An empty table stays empty. All given columns stay as they are, whatever their names."""
     model = language_id.train(docs.filter(remainder(F.col("doc_id"), 5) != 0), public_tokenizers.path("piece_bpe_32k.model"))
-    found = docs.withColumn("found_language", language_id.language(docs, F.col("text"), model))
-    certain = (F.col("found_language.lang") != language_id.UNKNOWN) & (F.col("found_language.score") >= LEAST_CERTAIN)
+    (name,) = unused(docs, "found_language")
+    found = docs.withColumn(name, language_id.language(docs, F.col("text"), model))
+    certain = (F.col(f"{name}.lang") != language_id.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_CERTAIN)
     return found.filter(certain).select(docs.columns)
 
 
