@@ -352,3 +352,15 @@ def test_language_sample_is_bounded_with_null_ids(spark):
     docs = spark.range(20_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("word "), "id").alias("t"), F.lit("en").alias("l"))
     n = language_id.sampled(docs.select(F.xxhash64("doc_id", "t").alias("h"), "l", "t"), 600).count()
     assert 450 < n < 750
+
+
+def test_language_stage_keeps_clashing_columns(spark, smoke_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{smoke_dir}/documents.parquet").withColumn("Found_Language", F.lit("own")).unionByName(
+        spark.createDataFrame([(None, None, "en", None, 0, "own"), (7, "12 !", "en", "s", 4, "own")], "doc_id bigint, text string, lang string, source string, n_chars bigint, Found_Language string")
+    )
+    kept = corpus_pipeline.identify_language(spark, docs, smoke_dir)
+    assert kept.columns == docs.columns
+    rows = kept.select("Found_Language", "text").collect()
+    assert rows and all(r["Found_Language"] == "own" and r["text"] not in (None, "12 !") for r in rows)
