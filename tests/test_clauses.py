@@ -69,3 +69,23 @@ def test_component_by_row_type(spark):
         [(1, "sql", "SELECT a", "SELECT a"), (2, "cypher", "MATCH (a:X)", "MATCH (a:Y)")], "pair_id BIGINT, query_type STRING, gold STRING, pred STRING"
     )
     assert {r["pair_id"]: r["component"] for r in C.component_score(df).collect()} == {1: 1.0, 2: 0.0}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clause_scores_are_not_interpreted_array_expressions(spark):
+    df = spark.createDataFrame([(1, "SELECT a FROM t", "SELECT b FROM t")], "pair_id BIGINT, gold STRING, pred STRING")
+    for scored in (C.sql_f1(df), C.cypher_f1(df), C.sql_clauses(df, "pair_id", "gold"), C.cypher_clauses(df, "pair_id", "gold")):
+        assert "ArrowEvalPython" in plan(scored) and "split(" not in plan(scored)
+
+
+def test_clauses_of_odd_texts(spark):
+    assert parts(spark, None) == [] and parts(spark, "") == []
+    assert parts(spark, "select\x01 a from t") == [("FROM", "t")]
+    assert parts(spark, "FROM a FROM b FROM(c") == [("FROM", "a"), ("FROM", "b"), ("FROM", "(c")]
+    assert parts(spark, "FROM(a FROM b") == [("FROM", "b")]  # a mark counts only after the last blank
+    assert parts(spark, "CASE x END, ſELECT y") == [("CASE", "CASE x END")]  # only ASCII letters have two cases
+    df = spark.createDataFrame([(1, "match (a) Match (b) and and x RETURN"), (2, None)], "pair_id BIGINT, q STRING")
+    assert [tuple(r)[1:] for r in C.cypher_clauses(df, "pair_id", "q").collect()] == [("MATCH", "(a) Match (b) and and x"), ("MATCH", "(b) and and x"), ("AND", "and x"), ("AND", "x")]
