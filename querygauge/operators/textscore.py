@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from querygauge.functions.extract import collapse, normalise_answer, words
 from querygauge.operators.placement import spread
@@ -76,34 +79,45 @@ def ngram_profile(texts: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return w.select(key, F.explode(grams(F.col("_w"), n)).alias("gram")).groupBy(key, "gram").count()
 
 
-_FEW = 32  # up to this many shared grams are kept by comparing, beyond it all grams are counted
+def _clipped_hits(gold: list[list[str]], pred: list[list[str]]) -> list[int]:
+    """Clipped counts of the 1- to 4-grams that two lists of texts share."""
+    sides = [[list(map(sys.intern, w)) for w in side] for side in (gold, pred)]
+    out = []
+    for n in range(1, 5):
+        g, p = (Counter(x for w in side for x in (zip(*(w[i:] for i in range(n))) if n > 1 else w)) for side in sides)
+        out.append(sum(min(c, g[x]) for x, c in p.items() if x in g))
+        if not out[-1]:  # without a shared gram there is no longer one
+            return out + [0] * (4 - n)
+    return out
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _hits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for gold, pred in batches:
+        yield pd.Series([_clipped_hits([g], [p]) for g, p in zip(gold, pred)], dtype=object)
 
 
 def bleu4(pairs: DataFrame, key: str = "pair_id", gold: str = "gold", pred: str = "pred") -> DataFrame:
     """Clipped 1-4-gram precision with brevity penalty, as (key, bleu).
 
-    The pairs move once, by key, as plain text; both group-bys then run inside those partitions
-    because their keys start from the same column.  Grams that only one side has add nothing to the
-    clipped counts: where the sides share few grams of a length, only those become rows.
+    The pairs move once, by key, as plain text.  Grams of a pair are counted inside its row; rows that share key and
+    both lengths count together, as one pair, and only their grams become rows.
     """
     placed = spread(pairs.select(key, gold, pred), key)
     w = placed.select(key, words(F.lower(F.col(gold))).alias("_g"), words(F.lower(F.col(pred))).alias("_p"))
-    for n in range(1, 5):
-        w = w.withColumn(f"_g{n}", grams(F.col("_g"), n)).withColumn(f"_p{n}", grams(F.col("_p"), n))
-    for n in range(1, 5):
-        w = w.withColumn(f"_s{n}", F.array_intersect(f"_g{n}", f"_p{n}"))
+    w = w.select(key, F.size("_g").alias("ref"), F.size("_p").alias("gen"), "_g", "_p")
+    w = w.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "ref", "gen")))
+    own = F.when((F.col("_n") == 1) & (F.col("ref") > 0) & (F.col("gen") > 0), F.lit(True)).otherwise(False)
+    alone = w.filter(own).withColumn("_h", _hits("_g", "_p")).select(key, "ref", "gen", *[F.col("_h")[n - 1].alias(f"hit{n}") for n in range(1, 5)])
 
-    def shared(n: int, side: str, is_pred: int) -> Column:
-        common, all_grams = F.col(f"_s{n}"), F.col(f"_{side}{n}")
-        kept = F.when(F.size(common) > _FEW, all_grams).otherwise(F.filter(all_grams, lambda g: F.array_contains(common, g)))
-        return F.transform(kept, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(is_pred).alias("p")))
+    def entries(n: int, side: str, is_pred: int) -> Column:
+        return F.transform(grams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(is_pred).alias("p")))
 
-    entries = F.flatten(F.array(*[shared(n, side, is_pred) for n in range(1, 5) for side, is_pred in (("g", 0), ("p", 1))]))
-    sizes = [F.size("_g").alias("ref"), F.size("_p").alias("gen")]
-    rows = w.select(key, *sizes, F.explode_outer(entries).alias("x")).select(key, "ref", "gen", "x.*")
+    of_all = F.flatten(F.array(*[entries(n, side, is_pred) for n in range(1, 5) for side, is_pred in (("_g", 0), ("_p", 1))]))
+    rows = w.filter(~own).select(key, "ref", "gen", F.explode_outer(of_all).alias("x")).select(key, "ref", "gen", "x.*")
     counted = rows.groupBy(key, "ref", "gen", "n", "gram").agg(F.count_if(F.col("p") == 1).alias("cp"), F.count_if(F.col("p") == 0).alias("cg"))
     hits = [F.sum(F.when(F.col("n") == n, F.least("cp", "cg")).otherwise(0)).alias(f"hit{n}") for n in range(1, 5)]
-    sums = counted.groupBy(key, "ref", "gen").agg(*hits)
+    sums = alone.unionByName(counted.groupBy(key, "ref", "gen").agg(*hits))
     logs = [F.when(F.col(f"hit{n}") > 0, F.log(F.col(f"hit{n}") / (F.col("gen") - (n - 1)))).otherwise(F.log(F.lit(1e-7))) for n in range(1, 5)]
     penalty = F.when(F.col("gen") > 0, F.least(F.lit(1.0), F.exp(1 - F.col("ref") / F.nullif(F.col("gen"), F.lit(0))))).otherwise(0.0)
     return sums.select(key, (penalty * F.exp((logs[0] + logs[1] + logs[2] + logs[3]) / 4)).alias("bleu"))

@@ -106,3 +106,19 @@ def test_missing_predictions_score_zero(spark):
     g, p = F.col("g"), F.col("p")
     rows = df.select(M.exact_match(g, p), M.contains_match(g, p), M.levenshtein_similarity(g, p), M.similarity_bound(g, p)).collect()
     assert [tuple(r) for r in rows] == [(0, 0, 0.0, 0.0), (1, 1, 1.0, 1.0)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+
+def test_bleu_of_single_and_repeated_rows(spark):
+    rows = [(1, "a b c d e", "a b c d x"), (2, "a b c d e", "a b c d x"), (2, "a b c d e", "a b c d x"), (3, None, "a"), (3, "a", None), (4, "", "")]
+    df = spark.createDataFrame(rows, "pair_id BIGINT, gold STRING, pred STRING")
+    got = sorted((r["pair_id"], round(r["bleu"], 6)) for r in M.bleu4(df).collect())
+    once = math.exp(sum(math.log(x) for x in (4 / 5, 3 / 4, 2 / 3, 1 / 2)) / 4)
+    # rows of one key and one pair of lengths count together, as one pair
+    twice = math.exp(sum(math.log(2 * x) for x in (4 / 5, 3 / 4, 2 / 3, 1 / 2)) / 4)
+    assert got == [(1, round(once, 6)), (2, round(twice, 6)), (3, 0.0), (3, 0.0), (4, 0.0)]
+    assert "array_intersect" not in plan(M.bleu4(df))
