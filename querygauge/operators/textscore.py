@@ -126,14 +126,66 @@ def bleu4(pairs: DataFrame, key: str = "pair_id", gold: str = "gold", pred: str
 # --- character sequences ------------------------------------------------------------------------
 
 
+_GRID = 1 << 20  # cells (length times length) up to which a pair is matched as bits of one number
+_POPULAR = 200  # from this length of the second text on, the matcher leaves out its frequent characters
+
+
+def _matched(a: str, b: str) -> int:
+    """Characters in the matching blocks of ``SequenceMatcher(None, a, b)``, for ``b`` shorter than ``_POPULAR``.
+
+    Bit (i, j) of a number says that characters i and j are equal; shifted by a row and a column and met with itself,
+    it says where runs of two, of four … start.  The lowest bit of the longest runs is the block the matcher takes.
+    """
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        if alo >= ahi or blo >= bhi:
+            continue
+        if ahi - alo == 1 or bhi - blo == 1:
+            total += a[alo] in b[blo:bhi] if ahi - alo == 1 else b[blo] in a[alo:ahi]
+            continue
+        first, second = a[alo:ahi], b[blo:bhi]
+        shared = set(first).intersection(second)
+        if not shared:
+            continue
+        wide = (bhi - blo) // 8 + 1  # bytes of a row: one bit at least is free, so no run goes on in the next row
+        rows = dict.fromkeys(first, bytes(wide))
+        for c in shared:
+            row, j = 0, second.find(c)
+            while j >= 0:
+                row |= 1 << j
+                j = second.find(c, j + 1)
+            rows[c] = row.to_bytes(wide, "little")
+        runs, step = int.from_bytes(b"".join([rows[c] for c in first]), "little"), wide * 8 + 1
+        powers = [runs]  # where runs of 1, 2, 4 … start
+        while longer := powers[-1] & (powers[-1] >> (step << (len(powers) - 1))):
+            powers.append(longer)
+        size = 1 << (len(powers) - 1)
+        best = powers.pop()
+        while powers:
+            more = 1 << (len(powers) - 1)
+            if longer := best & (powers.pop() >> (step * size)):
+                best, size = longer, size + more
+        i, j = divmod((best & -best).bit_length() - 1, step - 1)
+        total += size
+        todo += [(alo, alo + i, blo, blo + j), (alo + i + size, ahi, blo + j + size, bhi)]
+    return total
+
+
+def _ratio(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    if len(b) >= _POPULAR or len(a) * len(b) > _GRID:
+        return SequenceMatcher(None, a, b).ratio()
+    return 2.0 * _matched(a, b) / (len(a) + len(b))
+
+
 @F.pandas_udf(DoubleType())
 def _sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for first, second in batches:
-        out = []
-        for a, b in zip(first, second):
-            a, b = a or "", b or ""
-            out.append(1.0 if a == b else SequenceMatcher(None, a, b).ratio())
-        yield pd.Series(out, dtype="float64")
+        yield pd.Series([_ratio(a or "", b or "") for a, b in zip(first, second)], dtype="float64")
 
 
 def sequence_ratio(gold: Column, pred: Column, pred_first: bool = False) -> Column:

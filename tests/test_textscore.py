@@ -122,3 +122,16 @@ def test_bleu_of_single_and_repeated_rows(spark):
     twice = math.exp(sum(math.log(2 * x) for x in (4 / 5, 3 / 4, 2 / 3, 1 / 2)) / 4)
     assert got == [(1, round(once, 6)), (2, round(twice, 6)), (3, 0.0), (3, 0.0), (4, 0.0)]
     assert "array_intersect" not in plan(M.bleu4(df))
+
+
+
+def test_sequence_ratio_is_the_matchers(monkeypatch):
+    r, want = random.Random(5), []
+    for alphabet in ("ab", "abcd ", "abcdefghijklm"):
+        for n in range(150):
+            a, b = ("".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in "ab")
+            b = a[: n % 30] + b[:9] + a[n % 40 :] if n % 2 else b
+            want.append((a, b, M.SequenceMatcher(None, a, b).ratio()))
+    assert M._ratio("x" * 150 + "y" * 60, "y" * 60 + "x" * 150) == M.SequenceMatcher(None, "x" * 150 + "y" * 60, "y" * 60 + "x" * 150).ratio()
+    monkeypatch.setattr(M, "SequenceMatcher", None)  # short pairs do not need it
+    assert all(M._ratio(a, b) == v for a, b, v in want)
