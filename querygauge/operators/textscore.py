@@ -74,8 +74,8 @@ def grams(text_words: Column, n: int) -> Column:
 
 
 def ngram_profile(texts: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, gram, count); counts combine on the map side."""
-    w = texts.select(key, words(F.lower(F.col(text))).alias("_w"))
+    """(key, gram, count); texts move once, by key, and are counted where they arrive: grams, far larger, do not move."""
+    w = spread(texts.select(key, text), key).select(key, words(F.lower(F.col(text))).alias("_w"))
     return w.select(key, F.explode(grams(F.col("_w"), n)).alias("gram")).groupBy(key, "gram").count()
 
 

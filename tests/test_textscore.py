@@ -135,3 +135,11 @@ def test_sequence_ratio_is_the_matchers(monkeypatch):
     assert M._ratio("x" * 150 + "y" * 60, "y" * 60 + "x" * 150) == M.SequenceMatcher(None, "x" * 150 + "y" * 60, "y" * 60 + "x" * 150).ratio()
     monkeypatch.setattr(M, "SequenceMatcher", None)  # short pairs do not need it
     assert all(M._ratio(a, b) == v for a, b, v in want)
+
+
+
+def test_ngram_profile_moves_texts_not_grams(spark):
+    df = spark.createDataFrame([(1, "a b a b"), (1, "a b"), (None, "c d"), (2, None), (3, "x")], "doc_id BIGINT, text STRING")
+    got = M.ngram_profile(df, "doc_id", "text", 2)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a b", 3), (1, "b a", 1), (None, "c d", 1)], key=str)
+    assert plan(got).split("== Initial Plan ==")[-1].count("Exchange ") == 1 and "gram" not in plan(got).split("Exchange ")[-1].split("\n")[0]
