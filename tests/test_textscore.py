@@ -143,3 +143,12 @@ def test_ngram_profile_moves_texts_not_grams(spark):
     got = M.ngram_profile(df, "doc_id", "text", 2)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a b", 3), (1, "b a", 1), (None, "c d", 1)], key=str)
     assert plan(got).split("== Initial Plan ==")[-1].count("Exchange ") == 1 and "gram" not in plan(got).split("Exchange ")[-1].split("\n")[0]
+
+
+
+def test_similarity_bound_counts_each_text_once(spark):
+    rows = [("aabbé", "abbbé😀"), ("", ""), ("", "x"), ("x", None), (None, "x"), ("😀😀", "😀")]
+    df = pairs(spark, rows).select("pair_id", M.similarity_bound(F.col("gold"), F.col("pred")).alias("v"))
+    want = [2 * 4 / 11, 1.0, 0.0, 0.0, None, 2 / 3]
+    assert [r["v"] for r in df.orderBy("pair_id").collect()] == [w if w is None else pytest.approx(w) for w in want]
+    assert "aggregate(" not in plan(df)
