@@ -25,12 +25,18 @@ def with_pattern_graph(df: DataFrame, query: str, out: str) -> DataFrame:
     tokens, parsed, nodes = f"_{out}_tokens", f"_{out}_parsed", f"_{out}_nodes"
     df = df.withColumn(tokens, F.regexp_extract_all(F.coalesce(F.col(query), F.lit("")), F.lit(_TOKEN), F.lit(0)))
 
-    def parse(tok: Column, i: Column) -> Column:
+    # what a token says is read once, in a step of its own: a lambda works out its argument at every use
+    def read(tok: Column, i: Column) -> Column:
+        return F.struct(
+            tok.alias("tok"), i.alias("pos"), tok.rlike(_NODE).alias("node"), F.regexp_extract(tok, _NODE, 1).alias("name"),
+            F.nullif(F.regexp_extract(tok, _NODE, 2), F.lit("")).alias("label"),
+        )
+
+    def parse(r: Column) -> Column:
+        tok, i, name, label = r["tok"], r["pos"], r["name"], r["label"]
         is_edge = ~tok.startswith("(")
         hop = F.exists(F.array(i - 1, i + 1), lambda j: (j >= 0) & F.coalesce(F.get(F.col(tokens), j).contains("-["), F.lit(False)))
-        name = F.regexp_extract(tok, _NODE, 1)
-        label = F.nullif(F.regexp_extract(tok, _NODE, 2), F.lit(""))
-        is_node = ~is_edge & tok.rlike(_NODE) & ((name != "") | label.isNotNull() | hop)
+        is_node = ~is_edge & r["node"] & ((name != "") | label.isNotNull() | hop)
         return F.struct(
             i.alias("pos"), is_edge.alias("is_edge"), is_node.alias("is_node"),
             F.when(name != "", name).otherwise(F.concat(F.lit("_"), i.cast("string"))).alias("var"), label.alias("label"),
@@ -38,7 +44,7 @@ def with_pattern_graph(df: DataFrame, query: str, out: str) -> DataFrame:
             F.when(tok.startswith("<") & ~tok.endswith(">"), -1).when(~tok.startswith("<") & tok.endswith(">"), 1).otherwise(0).alias("dir"),
         )
 
-    df = df.withColumn(parsed, F.transform(tokens, parse))
+    df = df.withColumn(parsed, F.transform(F.transform(tokens, read), parse))
     seen = F.filter(parsed, lambda t: t["is_node"])
     df = df.withColumn(nodes, seen)
     names = F.array_distinct(F.transform(nodes, lambda t: t["var"]))
