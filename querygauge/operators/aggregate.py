@@ -126,7 +126,8 @@ def with_iterations(scores: DataFrame, keys: DataFrame, key: str, n: int = 120,
     """
     drawn = repeat_sample(keys, key, n, iterations, seed).groupBy(key).agg(F.collect_list("iteration").alias("_its"))
     spread = F.concat(F.array(F.lit(-1)), F.coalesce("_its", F.array().cast("array<int>")))
-    return scores.join(drawn, key, "left").select(F.explode(spread).alias("iteration"), key, "metric", "value")
+    # at most n x iterations keys: without the hint a planner that goes by the size of the table moves all scores
+    return scores.join(F.broadcast(drawn), key, "left").select(F.explode(spread).alias("iteration"), key, "metric", "value")
 
 
 def sample_statistics(iteration_means: DataFrame, by: list[str] | None = None) -> DataFrame:

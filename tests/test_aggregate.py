@@ -56,3 +56,14 @@ def test_report(spark):
     df = scores(spark, [(i, "m", float(i % 2)) for i in range(50)])
     row = A.task_report(df, df.select("pair_id"), "t", n=20, iterations=4).first()
     assert row["score"] == 0.5 and 0 <= row["ci_lower"] <= row["mean"] <= row["ci_upper"] <= 1
+
+
+def test_drawn_keys_do_not_move_the_scores(spark):
+    scores = spark.createDataFrame([(i, "m", float(i % 2)) for i in range(20)], "pair_id BIGINT, metric STRING, value DOUBLE")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on a table that is too large to be broadcast itself
+    try:
+        rows = A.with_iterations(scores, scores.select("pair_id"), "pair_id", n=3, iterations=2)
+        assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 20 + 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
