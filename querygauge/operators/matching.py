@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from querygauge.operators.placement import spread
 from querygauge.operators.textscore import levenshtein_similarity
+from querygauge.session import scratch_path
 
 LIST = 10_000  # entries of one n-gram that meet the other side together
 
@@ -98,7 +99,10 @@ def contains_join(golds: DataFrame, texts: DataFrame, gold_key: str, gold: str,
     classes = [_entries(at_length(n, n), "_g", "_s", [n], True) for n in sizes if n < GRAM]
     classes.append(_entries(at_length(GRAM, long_from - 1), "_g", "_s", [GRAM], True))
     classes.append(_entries(at_length(long_from, 2**31 - 1), "_g", "_s", [GRAM], False))
-    gold_grams = reduce(DataFrame.unionAll, classes)
+    # written, so that the planner knows how small they are: else all n-grams of all texts move to meet them
+    folder = scratch_path(golds.sparkSession, "grams")
+    reduce(DataFrame.unionAll, classes).write.parquet(folder)
+    gold_grams = golds.sparkSession.read.parquet(folder)
     on = ["size", "gram"]
     asked = gold_grams.select(*on).distinct()
     places = _entries(tids, "_id", "_t", sizes, whole).join(asked, on, "left_semi").distinct()

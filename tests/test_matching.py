@@ -69,3 +69,16 @@ def test_draws_with_replacement(spark):
     drawn = repeat_sample(spark.range(1000).select((F.col("id") * 7).alias("k")), "k", n=50, iterations=3, replace=True)
     want = sorted((i, keys[int(md5(f"42|{i}|{j}".encode()).hexdigest()[:15], 16) % 1000]) for i in range(3) for j in range(50))
     assert sorted(tuple(r) for r in drawn.collect()) == want
+
+
+def test_few_golds_of_a_large_table_do_not_move_all_grams(spark):
+    golds = spark.range(200_000).selectExpr("concat('needle number ', id % 3) AS g").repartition(4)
+    texts = spark.createDataFrame([(1, "a needle number 1 here"), (2, "none"), (3, "needle number 0")], "i INT, t STRING")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        found = M.contains_join(golds.distinct().selectExpr("g", "g AS key"), texts, "key", "g", "i", "t")
+        semi = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "LeftSemi" in line]
+        assert semi and all("BroadcastHashJoin" in line for line in semi)
+        assert sorted(map(tuple, found.collect())) == [("needle number 0", 3), ("needle number 1", 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
