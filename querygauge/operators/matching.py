@@ -13,23 +13,27 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from querygauge.operators.placement import spread
-from querygauge.operators.textscore import levenshtein_similarity
-from querygauge.session import scratch_path
+from querygauge.session import cut_lineage, scratch_path
 
 LIST = 10_000  # entries of one n-gram that meet the other side together
 
 
-def meet(left: DataFrame, right: DataFrame, on: list[str], spread_by: str, sizes: DataFrame, most: int = LIST) -> DataFrame:
-    """Inner join on n-grams; ``sizes`` (on, n) counts the right side's entries, longer lists are split into parts."""
+def meet(left: DataFrame, right: DataFrame, on: list[str], spread_by: str, sizes: DataFrame, most: int = LIST, placed: bool = False) -> DataFrame:
+    """Inner join on n-grams; ``sizes`` (on, n) counts the right side's entries, longer lists are split into parts.
+
+    ``placed``: both sides go to all shuffle partitions, where small lists make large work."""
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / most)).cast("int")
     long_lists = sizes.filter(F.col("n") > most).select(*on, parts.alias("_parts"))
     split = right.join(long_lists, on, "left").withColumn("_part", F.pmod(F.xxhash64(spread_by), F.coalesce("_parts", F.lit(1))).cast("int"))
     copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
     repeated = left.join(long_lists, on, "left").withColumn("_part", F.explode(copies))
-    return repeated.drop("_parts").join(split.drop("_parts"), [*on, "_part"]).drop("_part")
+    left, right = repeated.drop("_parts"), split.drop("_parts")
+    if placed:
+        left, right = (spread(side, *on, "_part") for side in (left, right))
+    return left.join(right, [*on, "_part"]).drop("_part")
 
 
 # --- containment --------------------------------------------------------------------------------
@@ -152,22 +156,37 @@ def _tokens(texts: DataFrame, q: int) -> DataFrame:
     return counted.select("s", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("count").cast("int")), lambda k: F.struct(F.lit(q).alias("q"), F.col("gram").alias("gram"), k.alias("k")))).alias("token"))
 
 
-BINS = 16
+PAIRS = 1_000_000  # pairs of one n-gram's two lists that one task compares, where the golds' list can be split so far
+MAPS = 4  # 64-bit numbers that hold the characters of a text
+
+
+def _maps(text: Column) -> list[Column]:
+    """Bits of a text's characters, numbered where one repeats; bits that meet cancel out, so that texts differ in no more bits than characters.
 
+    Made once a text. A pair compares a few numbers: one count for each of many bins made the generated method of the join too
+    large to be compiled."""
+    held = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    times = lambda c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    bits = F.flatten(F.transform(held, lambda c: F.transform(F.sequence(F.lit(1), times(c)), lambda k: F.pmod(F.xxhash64(c, k), F.lit(64 * MAPS)).cast("int"))))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x % 64)
+    of = lambda i: F.filter(bits, lambda x: F.floor(x / 64) == i)
+    return [F.aggregate(of(i), F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(bit(x))) for i in range(MAPS)]
 
-def _bins(text: Column) -> Column:
-    """Characters of a text counted in a few bins by code point: made once a text, compared once a pair."""
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c) % BINS)
-    holds = lambda i: F.size(F.filter(codes, lambda c: c == i))
-    return F.array(*[holds(i) for i in range(BINS)])
+
+def _most_edits(at_least: float) -> Column:
+    """Most edits of a pair of lengths ``ng`` and ``np`` that is similar enough."""
+    return F.floor(F.greatest("ng", "np") * (1 - at_least + 1e-9)).cast("int")
 
 
 def candidates(golds: DataFrame, preds: DataFrame, at_least: float, most: int = LIST) -> DataFrame:
-    """(p, g) of distinct texts (column ``s`` of each side) that pass the length, n-gram and character count filters.
+    """(p, g, ng, np) of distinct texts (column ``s`` of each side) and their lengths that pass the length, n-gram and character filters.
+
+    A pair comes once for each n-gram that its texts list in common: what follows is made in the task that meets them,
+    where pairs are far too many to move.
 
     d edits destroy at most 2d pairs of characters, so of a text's pairs, rarest first, one of the first 2k + 1 is shared
     with any text within its k edits.  Texts too short for that use single characters, of which k + 1 suffice.
-    The count filter is ``similarity_bound`` with characters counted in bins: never below the bound, so it drops less.
+    The last filter compares characters: an edit takes one away and brings one, or does one of both where lengths differ.
     No pair of similarity ``at_least`` or more is lost.
     """
     if not 2 / 3 < at_least <= 1:
@@ -181,16 +200,19 @@ def candidates(golds: DataFrame, preds: DataFrame, at_least: float, most: int =
     common = sides["g"].unionAll(sides["p"]).groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     heads = {}
     for name, tokens in sides.items():
-        rank = F.row_number().over(Window.partitionBy("s", "token.q").orderBy("f", "token"))
-        first = tokens.join(common, "token").withColumn("r", rank).filter(F.col("r") <= F.col("token.q") * _edits(F.col("n"), at_least) + 1)
-        heads[name] = first.select(F.col("s").alias(name), F.col("n").alias(f"n{name}"), _bins(F.col("s")).alias(f"b{name}"), "token")
-    sizes = heads["g"].groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    met = meet(heads["p"], heads["g"], ["token"], "g", sizes, most)
-    longer = F.greatest("ng", "np")
-    # similarity_bound is 2M/T over shared characters M; within the allowed edits M is at least at_least * longer
-    shared = reduce(lambda x, y: x + y, [F.least(F.col("bg")[i], F.col("bp")[i]) for i in range(BINS)])
-    near = met.filter((F.abs(F.col("ng") - F.col("np")) <= longer * (1 - at_least) + 1e-9) & (shared >= longer * at_least - 1e-9))
-    return spread(near.select("p", "g"), "p").dropDuplicates(["p", "g"])
+        rarest = tokens.join(common, "token").groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("l"))
+        of = lambda q: F.slice(F.filter("l", lambda x: x["token"]["q"] == q), 1, q * _edits(F.col("n"), at_least) + 1)
+        texts = rarest.select("s", "n", *[m.alias(f"m{i}") for i, m in enumerate(_maps(F.col("s")))], F.concat(of(1), of(2)).alias("l"))
+        head = texts.select(F.col("s").alias(name), *[F.col(c).alias(f"{c}{name}") for c in ("n", *[f"m{i}" for i in range(MAPS)])], F.explode("l").alias("h"))
+        heads[name] = cut_lineage(head.withColumn("token", F.xxhash64("h.token")).drop("h"))
+    lists = [heads[name].groupBy("token").agg(F.count(F.lit(1)).alias(f"in_{name}")) for name in ("g", "p")]
+    # a list of golds is split by its own length, and further where very many predictions meet it
+    by_pairs = F.least("in_g", F.ceil(F.col("in_g") * F.col("in_p") / PAIRS)) * most
+    sizes = lists[0].join(lists[1], "token").select("token", F.greatest(F.col("in_g"), by_pairs).alias("n"))
+    met = meet(heads["p"], heads["g"], ["token"], "g", sizes, most, placed=True)
+    apart = F.abs(F.col("ng") - F.col("np"))
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"m{i}g").bitwiseXOR(F.col(f"m{i}p"))) for i in range(MAPS)])
+    return met.filter(differ <= 2 * _most_edits(at_least) - apart).select("p", "g", "ng", "np")
 
 
 def best_gold(golds: DataFrame, preds: DataFrame, gold: str, pred: str, at_least: float = 0.8, most: int = LIST) -> DataFrame:
@@ -201,9 +223,16 @@ def best_gold(golds: DataFrame, preds: DataFrame, gold: str, pred: str, at_least
     """
     g = golds.select(F.col(gold).alias("s")).filter(F.col("s").isNotNull()).distinct()
     p = preds.select(F.col(pred).alias("s")).filter(F.col("s").isNotNull()).distinct()
-    near = candidates(g.filter("s <> ''"), p.filter("s <> ''"), at_least, most)
-    scored = near.withColumn("v", levenshtein_similarity(F.col("g"), F.col("p"))).filter(F.col("v") >= at_least - 1e-9)
-    blank = g.filter("s = ''").select(F.col("s").alias("g"), F.col("s").alias("p"), F.lit(1.0).alias("v"))
-    best = scored.unionAll(blank).groupBy("p").agg(F.min(F.struct((-F.col("v")).alias("v"), "g")).alias("b"))
+    blank = g.filter("s = ''").select(F.col("s").alias("p"), F.struct(F.lit(-1.0).alias("v"), F.col("s").alias("g")).alias("b"))
+    best, left = [blank], p.filter("s <> ''")
+    # a prediction with a very near gold needs no farther one, and very near ones share rarer n-grams
+    for bound in sorted({(1 + at_least) / 2, at_least}, reverse=True):
+        near = candidates(g.filter("s <> ''"), left, bound, most)
+        d = F.call_function("levenshtein", "g", "p", _most_edits(bound))  # -1 if there are more
+        scored = near.select("p", "g", d.alias("d"), (1 - d / F.greatest("ng", "np")).alias("v")).filter("d >= 0")
+        found = cut_lineage(scored.groupBy("p").agg(F.min(F.struct((-F.col("v")).alias("v"), "g")).alias("b")))
+        best.append(found)
+        left = left.join(found, left["s"] == found["p"], "left_anti")
+    best = reduce(DataFrame.unionAll, best)
     out = p.join(best, p["s"] == best["p"], "left")
     return out.select(F.col("s").alias(pred), F.col("b.g").alias(gold), (-F.col("b.v")).alias("similarity"))

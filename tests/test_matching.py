@@ -82,3 +82,21 @@ def test_few_golds_of_a_large_table_do_not_move_all_grams(spark):
         assert sorted(map(tuple, found.collect())) == [("needle number 0", 3), ("needle number 1", 1)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_candidates_keep_cases_of_letters_apart(spark):
+    golds = [f"{name} {kind} Brand#{i}" for name in ("hot bolt", "old gear", "blue ring") for kind in ("ECONOMY", "STANDARD") for i in range(10, 25)]
+    preds = [f"{name}  {kind}Brand#{i}" for name in ("hot bolt", "old gear", "blue ring") for kind in ("economy", "standard") for i in range(10, 25)]
+    near = M.candidates(spark.createDataFrame([(g,) for g in golds], "s string"), spark.createDataFrame([(p,) for p in preds], "s string"), 0.8)
+    # each lost 7 or 8 capitals of at most 27 characters, beyond 0.8: of 8,100 pairs few are left to compare
+    assert near.select("p", "g").distinct().count() < 81
+
+
+def test_best_gold_takes_the_smallest_of_equals_and_far_ones_without_near(spark):
+    golds = [("abcdefghij",), ("abcdefghik",), ("zzzzzzzzzzzzzzzzzzzz",), ("ÀÉÎõü 漢字😀x",)]
+    preds = [("abcdefghix",), ("abcdefghij",), ("zzzzzzzzzzzzzzzzyyyy",), ("zzzzzzzzzzzzzzzyyyyy",), ("ÀÉÎõü 漢字😀y",)]
+    got = M.best_gold(spark.createDataFrame(golds, "gold string"), spark.createDataFrame(preds, "pred string"), "gold", "pred", 0.8, 1).collect()
+    assert {r["pred"]: (r["gold"], r["similarity"]) for r in got} == {
+        "abcdefghix": ("abcdefghij", pytest.approx(0.9)), "abcdefghij": ("abcdefghij", 1.0), "zzzzzzzzzzzzzzzzyyyy": ("zzzzzzzzzzzzzzzzzzzz", pytest.approx(0.8)),
+        "zzzzzzzzzzzzzzzyyyyy": (None, None), "ÀÉÎõü 漢字😀y": ("ÀÉÎõü 漢字😀x", pytest.approx(0.9)),
+    }
