@@ -146,6 +146,20 @@ def test_network_finds_keys_without_a_keyword_and_leaves_prose(found):
     assert sum(r["n_net"] for r in plain) == 0
 
 
+def test_network_learns_from_all_labelled_findings(spark, found, monkeypatch):
+    texts = table(spark, [(i, f"key {secret(random.Random(i))} token={secret(random.Random(-i))} order {i:018d}") for i in range(1, 2001)])
+    judged, learn = [], secret_scan._calibrated
+    monkeypatch.setattr(secret_scan, "_calibrated", lambda z, y, n: judged.append((n[y == 1].sum(), n[y == 0].sum())) or learn(z, y, n))
+    rows = secret_scan.candidates(texts, F.col("doc_id"), F.col("text"))
+    each = secret_scan.labelled(rows)
+    assert {r["label"]: r["count"] for r in each.groupBy("label").count().collect()} == {0: 2000, 1: 2000}  # more than 1,500 of each
+    held = {r["label"]: r["count"] for r in each.filter("pmod(h, 4) = 0").groupBy("label").count().collect()}
+    scanner = secret_scan.train(rows, part=1000)  # three parts
+    assert judged == [(2 * held[1], 2 * held[0])]  # with surroundings and without
+    scores = lambda t: scanner.scores(secret_scan._codes(secret_scan._windows(t, 0, len(t), 0, len(t))))[0]
+    assert scores(b"token=" + secret(random.Random(9999)).encode()) > 0.9 and scores(b"000000000000000777") < 0.1
+
+
 def test_network_gradients_equal_differences():
     net, rng = secret_scan.Network.fresh(), np.random.default_rng(1)
     codes, y = rng.integers(0, 97, (6, secret_scan.WIDTH)), np.array([0, 1, 1, 0, 1, 0.0])
