@@ -255,7 +255,7 @@ def _judge(network: Network):
                 codes = np.concatenate([_codes(w.as_py()) for w in batch.column("w")])
                 z = np.concatenate([network.logits(codes), network.logits(alone(codes))])
                 twice = [np.tile(batch.column(c).to_numpy(), 2) for c in ("kind", "label")]
-                yield pa.RecordBatch.from_arrays([pa.array(twice[0], pa.int32()), pa.array(twice[1], pa.int32()), pa.array(np.floor(z * STEPS).astype(np.int64))], ["kind", "label", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array(twice[0], pa.int32()), pa.array(twice[1], pa.int32()), pa.array(z)], ["kind", "label", "z"])
 
     return judge
 
@@ -288,11 +288,13 @@ def train(found: DataFrame, part: int = PART, recall: float = RECALL) -> Scanner
         total = sum(r["n"] for r in states)
         state = sum(np.frombuffer(bytes(r["state"])) * (r["n"] / total) for r in states)
     network, _, _ = Network.of_state(state)
-    counts = judged.select("kind", "label", "w").mapInArrow(_judge(network), "kind int, label int, z bigint").groupBy("kind", "label", "z").count().collect()
-    kind_of, y, z, times = (np.array([r[i] for r in counts], dtype=float) for i in range(4))
-    z, positive = z / STEPS, y == 1
+    # a step's logits count as their mean: bounded in number, and exact where a step holds one
+    logits = judged.select("kind", "label", "w").mapInArrow(_judge(network), "kind int, label int, z double")
+    counts = logits.groupBy("kind", "label", F.floor(F.col("z") * STEPS).alias("step")).agg(F.count("*"), F.avg("z"), F.min("z")).drop("step").collect()
+    kind_of, y, times, z, least = np.array([list(r) for r in counts], dtype=float).T
+    positive = y == 1
     slope, shift = _calibrated(z, y, times)
-    logit = slope * z + shift
+    logit = slope * least + shift
     scanner = Scanner(network, slope, shift, ())
 
     def threshold(of: np.ndarray) -> float:
