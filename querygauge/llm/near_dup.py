@@ -7,10 +7,10 @@ class (64-bit digest of the set); from there on classes are compared, so copies
    generate candidates: all pairs inside a list of at most ``SHORT`` classes.
 2. Longer lists (a passage or word pair many texts share, a large group of near copies) are dealt again by
    runs of three neighbouring retained values and, for small sets, by pairs of values of the prefix that two
-   linked sets must share. What is still long then is compared with a few pivots a list; then the classes
-   that the pivots did not join to the list's main component are compared with some of it, and those still outside
-   with all others of the list that they can reach the threshold with, going by counts of the shingles that are common
-   in such lists and by the rarer ones they share. So nothing is cut off.
+   linked sets must share; classes whose values in longer lists are too few for the estimate are left out. What is
+   still long then is compared with a few pivots a list. The classes that these did not join to their list's main
+   component are told apart by what differs from one set of that component: two of them, or one and any other class,
+   that reach the threshold share some of their rarest differences (exact; see ``_by_differences``). So nothing is cut off.
 3. The union-sketch estimate filters pairs; the exact Jaccard of the full sets decides every link.
 4. Links become connected components. A first round of links (each class with its likeliest partner) joins
    most of them; later rounds only look at pairs whose ends are not yet connected.
@@ -38,7 +38,6 @@ from querygauge.session import cut_lineage
 K = 32
 SHORT = 16  # classes of a list that are compared pair by pair
 PIVOTS = 6  # classes of a longer list that all others are compared with first
-HELPERS = 24  # classes of a list's main component that those outside it meet before they meet all
 SMALL = 40  # shingles: below, prefix pairs find every link for sure
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,6 +112,12 @@ def _pairs(x: DataFrame, y: DataFrame, key: str, percent: int, more: Column | No
     return x.alias("x").join(y.alias("y"), on).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
 
 
+def _least_estimate(percent: int) -> float:
+    """Four deviations under the threshold."""
+    t = percent / 100
+    return t - 4 * (t * (1 - t) / K) ** 0.5
+
+
 def estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, est) whose union-sketch estimate is within four deviations of the threshold."""
     one = sketches.select(F.col("c").alias("a"), F.col("s").alias("sa"))
@@ -122,9 +127,7 @@ def estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     turned = lambda c: F.transform(c, lambda v: v.bitwiseXOR(F.lit(-(2**63))))
     union = F.slice(F.array_sort(F.array_union(turned("sa"), turned("sb"))), 1, K)
     shared = F.array_intersect(union, F.array_intersect(turned("sa"), turned("sb")))
-    t = percent / 100
-    slack = 4 * (t * (1 - t) / K) ** 0.5
-    return both.select("a", "b", (F.size(shared) / F.size(union)).alias("est")).filter(F.col("est") >= t - slack)
+    return both.select("a", "b", (F.size(shared) / F.size(union)).alias("est")).filter(F.col("est") >= _least_estimate(percent))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -136,27 +139,40 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct()
 
 
-def _reachable(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``own`` (key, c, n, label, main, ...), one outside its list's main component, that may reach the threshold.
-
-    A shingle is common if more than ``SHORT`` of the given sets hold it. Two sets that share no rarer one share at most as
-    many shingles as the smaller number of common ones; those that do are listed from the rare shingles themselves."""
-    held = sets.select("c", F.explode("full").alias("v"))
-    several = held.groupBy("v").agg(F.count("*").alias("many")).filter("many > 1")
-    common = held.join(several.filter(F.col("many") > SHORT), "v").groupBy("c").agg(F.count("*").alias("m"))
-    keys = own.groupBy("c").agg(F.collect_set("key").alias("keys"))  # few: runs of a sketch, pairs of a small set's prefix
-    own = cut_lineage(own.join(keys.join(common, "c", "left").withColumn("m", F.coalesce("m", F.lit(0))), "c"))
-    enough = lambda shared: shared * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-    apart = F.col("x.label") != F.col("y.label")
-    once = apart & ((F.col("y.label") == F.col("y.main")) | (F.col("x.c") < F.col("y.c"))) & enough(F.least("x.m", "y.m"))
-    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair is listed under one of its keys
-    listed = _pairs(own.filter("label <> main"), own, "key", percent, once & first)
-    each = own.groupBy("c", "n", "label", "m").agg(F.bool_or(F.col("label") != F.col("main")).alias("out"))
-    rare = held.join(several.filter(F.col("many") <= SHORT), "v").join(each, "c")
-    both = apart & (F.col("x.v") == F.col("y.v")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.out") | F.col("y.out"))
-    size = F.first(F.struct(F.least("x.m", "y.m").alias("m"), (F.col("x.n") + F.col("y.n")).alias("n"))).alias("k")
-    shared = rare.alias("x").join(rare.alias("y"), both).groupBy(F.col("x.c").alias("a"), F.col("y.c").alias("b")).agg(F.count("*").alias("r"), size)
-    return listed.union(shared.filter((F.col("k.m") + F.col("r")) * (100 + percent) >= F.col("k.n") * percent).select("a", "b")).distinct()
+def _by_differences(members: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (c, g, n, label) that may reach the threshold, one of them outside the main component ``g`` of its list.
+
+    ``pivots`` (g, pivot) has a class of each main component; a list without one has null, and an empty pivot set. With D the
+    difference of a set x from the pivot set P, and q = (100 - percent) / (100 + percent), x and y reach the threshold if they
+    share ``(|Dx| - q|x| + |Dy| - q|y|) / 2`` elements of Dx and Dy at least. Of a set that does not reach it with P,
+    ``|Dx| - q|x|`` is over q|P|, so this number is above 0; if Dx and Dy are sorted alike, rare elements first, one that both
+    share stands so far ahead in each of them."""
+    of_pivot = pivots.join(sets.select(F.col("c").alias("pivot"), F.col("full").alias("base")), "pivot")
+    base = F.coalesce("base", F.array().cast("array<bigint>"))
+    apart = F.concat(F.array_except("full", base), F.array_except(base, "full"))
+    rows = members.join(sets, "c").join(of_pivot, "g", "left").select("c", "g", "n", "label", "pivot", F.size(base).alias("p"), apart.alias("d"))
+    joins = F.size("d") * (100 + percent) <= (F.col("n") + F.col("p")) * (100 - percent)
+    outside = F.coalesce(F.col("label") != F.col("g"), F.lit(True))
+    # elements of different components are different ones
+    rows = cut_lineage(rows.withColumn("d", F.transform("d", lambda v: F.xxhash64("g", v))).withColumn("joins", outside & joins).withColumn("out", outside & ~joins))
+    counts = rows.select(F.explode("d").alias("v")).groupBy("v").agg(F.count("*").alias("many")).filter("many > 1")
+    held = rows.filter(F.size("d") > 0).select("c", "g", "n", "label", "p", "out", F.size("d").alias("size"), F.explode("d").alias("v")).join(counts, "v", "left")
+
+    q, t = (100 - percent) / (100 + percent), percent / 100
+    own = F.col("size") - q * F.col("n")
+    others = lambda least: F.greatest(least, t * (1 - q) * F.col("n") - F.col("p"), F.col("p") - (1 + q) / t * F.col("n"))
+    ahead = lambda least: F.col("size") + 1 - F.greatest(F.ceil((own + others(least)) / 2 - 1e-6), F.lit(1))
+    held = held.groupBy("c", "g", "n", "label", "p", "out", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "v"))).alias("l"))
+    held = held.select("c", "n", "label", "out", "size", own.alias("own"), ahead(q * F.col("p")).alias("short"), ahead(-q * F.col("p")).alias("long"), F.posexplode("l").alias("pos", "e"))
+    held = cut_lineage(held.filter((F.col("e.many") > 1) & (F.col("pos") < F.greatest("short", F.when(F.col("out"), F.col("long"))))).withColumn("v", F.col("e.v")).drop("e"))
+
+    x, y = held.filter(F.col("out") & (F.col("pos") < F.col("long"))), held.filter(F.col("pos") < F.col("short"))
+    left = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))  # this element and those after it
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    on = (F.col("x.v") == F.col("y.v")) & (F.col("x.label") != F.col("y.label")) & (~F.col("y.out") | (F.col("x.c") < F.col("y.c")))
+    on = on & sizes & (left * 2 >= F.col("x.own") + F.col("y.own") - 1e-6)
+    met = x.alias("x").join(y.alias("y"), on).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
+    return met.union(rows.filter("joins").select(F.least("c", "pivot").alias("a"), F.greatest("c", "pivot").alias("b"))).distinct()
 
 
 def _long_keys(long: DataFrame, percent: int) -> DataFrame:
@@ -165,6 +181,8 @@ def _long_keys(long: DataFrame, percent: int) -> DataFrame:
     Two sets that reach the threshold share at least two of the first ``n - ceil(percent * n) + 2`` values."""
     own = long.groupBy("c", "n", "b1", "b2").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("l"))
     n = F.size("l")
+    # two classes that share no shorter list share no more of their sketches than either has here
+    own = own.filter(n / F.least(F.col("n"), F.lit(K)) >= _least_estimate(percent))
     runs = F.filter(
         F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.slice("l", i + 1, 3)),
         lambda r: (F.size(r) == 3) & (F.element_at(r, 3)["pos"] == F.element_at(r, 1)["pos"] + 2),
@@ -218,26 +236,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     apart = labelled(labelled(pairs, "a", "la"), "b", "lb").filter("la <> lb").join(likeliest, ["a", "b"], "left_anti")
     labels = extended(verified(apart, sets, percent))
 
-    # classes of long lists outside their list's main component meet some of it by hash; then, if still outside, all others
-    # that their shingle counts do not rule out
-    met = pairs.select("a", "b")
-    for everyone in (False, True):
-        own = cut_lineage(labelled(crowd, "c", "label"))
-        main = own.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
-        own = own.join(main, "key")
-        aside = own.filter("label <> main")
-        if aside.isEmpty():
-            break
-        if everyone:
-            own = cut_lineage(own.join(aside.select("key").distinct(), "key", "left_semi"))
-            sets = cut_lineage(sets_of(own.select("c").distinct()))
-            found = _reachable(own, sets, percent)
-        else:
-            some = Window.partitionBy("key").orderBy(F.xxhash64("c"), "c")
-            helpers = own.filter("label = main").withColumn("r", F.row_number().over(some)).filter(F.col("r") <= HELPERS).drop("r")
-            found = _pairs(aside, helpers, "key", percent, F.col("x.label") != F.col("y.label"))
-        rest = cut_lineage(estimated(found.join(met, ["a", "b"], "left_anti"), classes.select("c", "s"), percent))
-        labels, met = extended(verified(rest, sets if everyone else sets_of(ends(rest)), percent)), met.union(rest.select("a", "b"))
+    # classes of long lists outside their list's main component, if it has more than a few classes there
+    own = cut_lineage(labelled(crowd.select("key", "c", "n", "rich"), "c", "label"))
+    main = own.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels"))
+    main = main.filter("labels > 1").select("key", F.when(F.col("m.count") > SHORT, F.col("m.label")).alias("g"))
+    members = cut_lineage(own.join(main, "key").groupBy("c", "n", "label", "g").agg(F.max("rich").alias("rich")))
+    if not members.isEmpty():
+        pivots = members.filter("label = g").groupBy("g").agg(F.max(F.struct("rich", "c"))["c"].alias("pivot"))
+        sets = cut_lineage(sets_of(members.select("c").distinct()))
+        labels = extended(verified(_by_differences(members.drop("rich"), pivots, sets, percent), sets, percent))
 
     grouped = labelled(classes.select("c", "least"), "c", "label")
     least = grouped.groupBy("label").agg(F.min("least").alias("component"))

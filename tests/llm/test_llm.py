@@ -123,6 +123,56 @@ def test_large_group_of_near_copies_is_one_component(spark):
     assert got == least
 
 
+def test_outsiders_of_a_large_group_are_told_apart_without_meeting_it(spark, monkeypatch):
+    """Copies too far from their group, some near each other: all links are found, and far fewer pairs compared than the group has."""
+    base, rng, made = prose(2, 150).split(), random.Random(6), []
+
+    def edited(words, n):
+        copy = list(words)
+        for k in rng.sample(range(len(copy)), n):
+            copy[k] = f"edit{rng.randrange(10**6)}"
+        return copy
+
+    made += [edited(base, 3) for _ in range(40)] + [edited(base, 15) for _ in range(160)]
+    second = edited(base, 18)
+    made += [edited(second, 4) for _ in range(30)]
+    made = [(i, " ".join(w)) for i, w in enumerate(made)]
+    compared = []
+    verified = near_dup.verified
+    monkeypatch.setattr(near_dup, "verified", lambda pairs, *more: compared.append(pairs.count()) or verified(pairs, *more))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(made, "doc_id bigint, text string"), words=2).collect()}
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in made}
+    least = {i: i for i in sets}
+    for _ in range(6):
+        for a, b in itertools.combinations(sorted(sets), 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == least and len(set(least.values())) > 150
+    assert sum(compared) < 20 * len(made), compared
+
+
+@pytest.mark.parametrize("with_pivot", [True, False])
+def test_differences_from_a_pivot_lose_no_pair(spark, with_pivot):
+    """Random sets around a base, of many sizes, beside all pairs: what reaches the threshold is listed."""
+    rng = random.Random(7)
+    base, sets = set(range(60)), {}
+    for c in range(1, 160):
+        kept = {v for v in base if rng.random() < rng.choice([1, 0.95, 0.9, 0.8])}
+        sets[c] = kept | {rng.randrange(60, 90) for _ in range(rng.randrange(25))}
+    sets[1000] = base
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    g = 1000 if with_pivot else None
+    label = {c: g if with_pivot and rng.random() < 0.5 and near(c, 1000) else c for c in sets}
+    members = spark.createDataFrame([(c, g, len(sets[c]), label[c]) for c in sets], "c bigint, g bigint, n bigint, label bigint")
+    pivots = spark.createDataFrame([(1000, 1000)] if with_pivot else [], "g bigint, pivot bigint")
+    full = spark.createDataFrame([(c, sorted(x)) for c, x in sets.items()], "c bigint, full array<bigint>")
+    got = {tuple(r) for r in near_dup._by_differences(members, pivots, full, 80).collect()}
+    joined = {a for a in sets if with_pivot and (label[a] == g or near(a, 1000))}
+    assert all((min(a, 1000), max(a, 1000)) in got for a in joined if label[a] != g)
+    needed = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if near(a, b) and not (a in joined and b in joined)}
+    assert needed and needed <= got and (not with_pivot or len(got) < len(sets) ** 2 / 4)
+
+
 def test_mixing_meets_targets(docs, rows, none):
     got = mixing.mixed_words(docs, block=16).collect()
     assert len(got) == len(rows) and sorted(got) == sorted(mixing.mixed_words(docs, block=16).collect())
