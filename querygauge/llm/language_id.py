@@ -189,15 +189,17 @@ def train(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
 
 _KEPT: dict = {}  # of this worker: word -> row of its scores, for one model at a time
-_MOST_KEPT = 400_000
+_MOST_KEPT = 100_000  # most words come once, and what a worker keeps stays while later stages run in it
 
 
 def _scored(words: pa.Array, model: Model, tag: str) -> np.ndarray:
-    if _KEPT.get("tag") != tag or len(_KEPT["row"]) > _MOST_KEPT:
+    names = words.to_pylist()
+    new = [w for w in names if w not in _KEPT["row"]] if _KEPT.get("tag") == tag else names
+    if new is names or len(_KEPT["row"]) + len(new) > _MOST_KEPT:
         _KEPT.clear()
         _KEPT.update(tag=tag, row={}, table=np.zeros((1 << 16, len(model.languages)), np.float32))
-    row, names = _KEPT["row"], words.to_pylist()
-    new = [w for w in names if w not in row]
+        new = names
+    row = _KEPT["row"]
     if new:
         first = len(row)
         row.update(zip(new, range(first, first + len(new))))

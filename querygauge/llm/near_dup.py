@@ -33,12 +33,13 @@ from pyspark.sql.window import Window
 
 from querygauge.llm.common import LOWER, mixed, slices, text_or_empty, words_of
 from querygauge.llm.components import components
-from querygauge.session import cut_lineage
+from querygauge.session import batches_of, cut_lineage
 
 K = 32
 SHORT = 16  # classes of a list that are compared pair by pair
 PIVOTS = 6  # classes of a longer list that all others are compared with first
 SMALL = 40  # shingles: below, prefix pairs find every link for sure
+BATCH = 1000  # texts that Python gets at once
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -198,7 +199,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     and ``component`` (smallest id in it)."""
     text = text_or_empty(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), _sketcher(words)(text).alias("k"))
-    rows = cut_lineage(rows.select("id", "t", "k.*"))
+    with batches_of(docs.sparkSession, BATCH):
+        rows = cut_lineage(rows.select("id", "t", "k.*"))
     classes = cut_lineage(rows.filter("n > 0").groupBy("c").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "t")).alias("rep"), F.first(F.struct("n", "b1", "b2", "s")).alias("k")).select("c", "least", "rep", "k.*"))
 
     postings = classes.select(F.posexplode("s").alias("pos", "v"), "c", "n", "b1", "b2")
@@ -214,13 +216,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     pairs = cut_lineage(estimated(found.distinct(), classes.select("c", "s"), percent))
 
     def sets_of(ids: DataFrame) -> DataFrame:
+        """(c, full): written, as texts are read for them."""
         reps = classes.join(ids, "c", "left_semi").select("c", F.col("rep.id").alias("id"), F.col("rep.t").alias("t"))
         texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("t"))
         same = (F.col("d.t") == F.col("r.t")) & F.col("d.id").eqNullSafe(F.col("r.id"))
-        return texts.alias("d").join(reps.alias("r"), same).select("c", _full(words)(F.col("text")).alias("full"))
+        with batches_of(docs.sparkSession, BATCH):
+            return cut_lineage(texts.alias("d").join(reps.alias("r"), same).select("c", _full(words)(F.col("text")).alias("full")))
 
     ends = lambda p: p.select(F.col("a").alias("c")).union(p.select(F.col("b").alias("c"))).distinct()
-    sets = cut_lineage(sets_of(ends(pairs)))
+    sets = sets_of(ends(pairs))
     both = pairs.select(F.col("a").alias("c"), "a", "b", "est").union(pairs.select(F.col("b").alias("c"), "a", "b", "est"))
     likeliest = both.groupBy("c").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     labels = components(verified(likeliest, sets, percent))
@@ -243,7 +247,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     members = cut_lineage(own.join(main, "key").groupBy("c", "n", "label", "g").agg(F.max("rich").alias("rich")))
     if not members.isEmpty():
         pivots = members.filter("label = g").groupBy("g").agg(F.max(F.struct("rich", "c"))["c"].alias("pivot"))
-        sets = cut_lineage(sets_of(members.select("c").distinct()))
+        sets = sets_of(members.select("c").distinct())
         labels = extended(verified(_by_differences(members.drop("rich"), pivots, sets, percent), sets, percent))
 
     grouped = labelled(classes.select("c", "least"), "c", "label")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -55,3 +56,16 @@ def cut_lineage(df):
         spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     spark.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Jobs run inside hand Python at most so many rows at once: whole texts and what is made of them stand in memory by the batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(name)
+    if not 0 < int(given) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, given)

@@ -151,6 +151,16 @@ def test_outsiders_of_a_large_group_are_told_apart_without_meeting_it(spark, mon
     assert sum(compared) < 20 * len(made), compared
 
 
+def test_python_gets_texts_in_small_batches(docs, monkeypatch):
+    name, seen, cut = "spark.sql.execution.arrow.maxRecordsPerBatch", [], near_dup.cut_lineage
+    conf = docs.sparkSession.conf
+    given = conf.get(name)
+    monkeypatch.setattr(near_dup, "cut_lineage", lambda df: seen.append(("ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString(), int(conf.get(name)))) or cut(df))
+    near_dup.near_duplicates(docs).count()
+    of_python = [rows for python, rows in seen if python]
+    assert len(of_python) >= 2 and max(of_python) <= near_dup.BATCH and conf.get(name) == given
+
+
 @pytest.mark.parametrize("with_pivot", [True, False])
 def test_differences_from_a_pivot_lose_no_pair(spark, with_pivot):
     """Random sets around a base, of many sizes, beside all pairs: what reaches the threshold is listed."""
@@ -253,6 +263,20 @@ def test_forward_sums_all_segmentations():
     assert np.exp(language_id.word_scores(["ab"], model))[0, 0] == pytest.approx(want)
 
 
+def test_scored_words_that_a_worker_keeps_are_bounded(monkeypatch):
+    pieces = sorted({"▁", *"abcdefgh"})
+    keys = language_id._keys(pieces)
+    order = np.argsort(keys)
+    prob = np.vstack([np.full((len(pieces), 2), 0.1), np.zeros((1, 2)), np.full((1, 2), language_id.FLOOR)])
+    model = language_id.Model(("x", "y"), keys[order], prob, np.zeros(2))
+    monkeypatch.setattr(language_id, "_MOST_KEPT", 10)
+    monkeypatch.setattr(language_id, "_KEPT", {})
+    parts = [["".join(w) for w in itertools.islice(itertools.product("abcdefgh", repeat=3), at, at + 8)] for at in (0, 2, 4, 30, 30)]
+    for part in parts:
+        assert np.array_equal(language_id._scored(pa.array(part), model, "m"), language_id.word_scores(part, model).astype(np.float32).astype(np.float64))
+        assert len(language_id._KEPT["row"]) <= 10 and set(part) <= set(language_id._KEPT["row"])
+
+
 def test_language_and_toxicity_on_held_out_rows(spark, smoke_dir, none):
     got = QUERIES["op9_language"](spark, smoke_dir).join(spark.read.parquet(f"{smoke_dir}/documents.parquet"), "doc_id").filter("held_out")
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
