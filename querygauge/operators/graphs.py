@@ -2,18 +2,75 @@
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from querygauge.operators.clauses import sql_f1
 from querygauge.operators.placement import spread
 from querygauge.session import cut_lineage
 
-_TOKEN = r"\([^()]*\)|<?-\[[^\]]*\]->?"
-_NODE = r"^\(\s*(\w*)\s*(?::\s*(\w+))?\s*(?:\{[^}]*\})?\s*\)$"
-_EDGE = r"\[\s*\w*\s*(?::\s*(\w+))?"
+_TOKEN = re.compile(r"\([^()]*\)|<?-\[[^\]]*\]->?")
+_NODE = re.compile(r"^\(\s*(\w*)\s*(?::\s*(\w+))?\s*(?:\{[^}]*\})?\s*\)$", re.ASCII)
+_EDGE = re.compile(r"\[\s*\w*\s*(?::\s*(\w+))?", re.ASCII)
 _PRUNE_FROM = 6  # levels; below it a search is too small to be worth the extra step
 _SHAPE = ", ".join(f"{g} STRUCT<labels: ARRAY<STRING>, edges: ARRAY<STRUCT<i: INT, j: INT, type: STRING>>>" for g in "ab")
-_GRAPH = "struct<nodes:array<struct<var:string,label:string>>,edges:array<struct<src:string,dst:string,type:string>>>"
+_LISTS = {"nodes": ("var", "label"), "edges": ("src", "dst", "type")}
+_GRAPH = StructType([StructField(name, ArrayType(StructType([StructField(c, StringType()) for c in columns]))) for name, columns in _LISTS.items()])
+
+
+def _read(token: str) -> tuple[bool, bool, str, str | None, str | None, int]:
+    """(edge, well-formed node, name, label, type, direction) of a token."""
+    node, edge = _NODE.search(token), _EDGE.search(token)
+    left, right = token.startswith("<"), token.endswith(">")
+    return not token.startswith("("), bool(node), node[1] if node else "", node[2] if node else None, edge[1] if edge else None, right - left
+
+
+def pattern_graph(query: str | None, read: dict[str, tuple]) -> tuple[dict[str, str | None], dict[tuple[str, str], str | None]]:
+    """Labels by variable and types by (source, destination), each in order; ``read`` holds what tokens say."""
+    tokens = _TOKEN.findall(query or "")
+    for t in tokens:
+        if t not in read:
+            read[t] = _read(t)
+    names: list[str | None] = []  # variable of each token that is a node
+    labels: dict[str, str | None] = {}
+    for i, t in enumerate(tokens):
+        edge, formed, name, label, _, _ = read[t]
+        known = not edge and formed and (name or label or "-[" in "".join(tokens[max(i - 1, 0) : i]) or "-[" in "".join(tokens[i + 1 : i + 2]))
+        names.append((name or f"_{i}") if known else None)
+        if known and (label or names[i] not in labels):
+            labels[names[i]] = label
+    ends = []
+    for i, t in enumerate(tokens[1:-1], 1):
+        edge, _, _, _, kind, direction = read[t]
+        a, b = names[i - 1], names[i + 1]
+        if edge and a is not None and b is not None:
+            if direction:
+                ends.append((0, i, a, b, kind) if direction > 0 else (0, i, b, a, kind))
+            else:
+                ends += [(1, i, a, b, kind), (1, i, b, a, kind)]
+    types: dict[tuple[str, str], str | None] = {}
+    for _, _, a, b, kind in sorted(ends, key=lambda e: e[:4]):
+        types[a, b] = kind
+    return labels, types
+
+
+@F.arrow_udf(_GRAPH)
+def _pattern_graphs(queries: pa.Array) -> pa.Array:
+    read: dict[str, tuple] = {}
+    graphs = [pattern_graph(q, read) for q in queries.to_pylist()]
+
+    def lists(name: str, rows: list[list[tuple]]) -> pa.ListArray:
+        ends = pa.array(list(accumulate(map(len, rows), initial=0)), pa.int32())
+        columns = [pa.array([x[i] for row in rows for x in row], pa.string()) for i in range(len(_LISTS[name]))]
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, names=list(_LISTS[name])))
+
+    nodes = lists("nodes", [list(labels.items()) for labels, _ in graphs])
+    edges = lists("edges", [[(*ends, kind) for ends, kind in types.items()] for _, types in graphs])
+    return pa.StructArray.from_arrays([nodes, edges], names=list(_LISTS))
 
 
 def with_pattern_graph(df: DataFrame, query: str, out: str) -> DataFrame:
@@ -22,60 +79,7 @@ def with_pattern_graph(df: DataFrame, query: str, out: str) -> DataFrame:
     The last label of a variable wins; the last edge between two nodes wins, edges without a direction
     (read both ways) being read after the others.  Unnamed nodes of a hop are named by their position.
     """
-    tokens, parsed, nodes = f"_{out}_tokens", f"_{out}_parsed", f"_{out}_nodes"
-    df = df.withColumn(tokens, F.regexp_extract_all(F.coalesce(F.col(query), F.lit("")), F.lit(_TOKEN), F.lit(0)))
-
-    # what a token says is read once, in a step of its own: a lambda works out its argument at every use
-    def read(tok: Column, i: Column) -> Column:
-        return F.struct(
-            tok.alias("tok"), i.alias("pos"), tok.rlike(_NODE).alias("node"), F.regexp_extract(tok, _NODE, 1).alias("name"),
-            F.nullif(F.regexp_extract(tok, _NODE, 2), F.lit("")).alias("label"),
-        )
-
-    def parse(r: Column) -> Column:
-        tok, i, name, label = r["tok"], r["pos"], r["name"], r["label"]
-        is_edge = ~tok.startswith("(")
-        hop = F.exists(F.array(i - 1, i + 1), lambda j: (j >= 0) & F.coalesce(F.get(F.col(tokens), j).contains("-["), F.lit(False)))
-        is_node = ~is_edge & r["node"] & ((name != "") | label.isNotNull() | hop)
-        return F.struct(
-            i.alias("pos"), is_edge.alias("is_edge"), is_node.alias("is_node"),
-            F.when(name != "", name).otherwise(F.concat(F.lit("_"), i.cast("string"))).alias("var"), label.alias("label"),
-            F.nullif(F.regexp_extract(tok, _EDGE, 1), F.lit("")).alias("type"),
-            F.when(tok.startswith("<") & ~tok.endswith(">"), -1).when(~tok.startswith("<") & tok.endswith(">"), 1).otherwise(0).alias("dir"),
-        )
-
-    df = df.withColumn(parsed, F.transform(F.transform(tokens, read), parse))
-    seen = F.filter(parsed, lambda t: t["is_node"])
-    df = df.withColumn(nodes, seen)
-    names = F.array_distinct(F.transform(nodes, lambda t: t["var"]))
-    labelled = F.transform(
-        names,
-        lambda v: F.struct(v.alias("var"), F.try_element_at(F.filter(nodes, lambda t: (t["var"] == v) & t["label"].isNotNull()), F.lit(-1))["label"].alias("label")),
-    )
-
-    def ends(t: Column) -> Column:
-        left, right = F.get(F.col(parsed), t["pos"] - 1), F.get(F.col(parsed), t["pos"] + 1)
-        one = lambda a, b, late: F.struct(F.lit(late).alias("late"), t["pos"].alias("pos"), a["var"].alias("src"), b["var"].alias("dst"), t["type"].alias("type"))
-        return F.when(t["dir"] == 1, F.array(one(left, right, 0))).when(t["dir"] == -1, F.array(one(right, left, 0))).otherwise(
-            F.array(one(left, right, 1), one(right, left, 1))
-        )
-
-    hops = F.filter(
-        parsed,
-        lambda t: t["is_edge"] & (t["pos"] > 0)
-        & F.coalesce(F.get(F.col(parsed), t["pos"] - 1)["is_node"], F.lit(False))
-        & F.coalesce(F.get(F.col(parsed), t["pos"] + 1)["is_node"], F.lit(False)),
-    )
-    df = df.withColumn(tokens, F.array_sort(F.flatten(F.transform(hops, ends))))
-    keys = F.array_distinct(F.transform(tokens, lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"))))
-    edges = F.transform(
-        keys,
-        lambda k: F.struct(
-            k["src"].alias("src"), k["dst"].alias("dst"),
-            F.element_at(F.filter(tokens, lambda e: (e["src"] == k["src"]) & (e["dst"] == k["dst"])), -1)["type"].alias("type"),
-        ),
-    )
-    return df.withColumn(out, F.struct(labelled.alias("nodes"), edges.alias("edges")).cast(_GRAPH)).drop(tokens, parsed, nodes)
+    return df.withColumn(out, _pattern_graphs(F.col(query)))
 
 
 def pattern_nodes(df: DataFrame, key: str, query: str) -> DataFrame:

@@ -130,10 +130,48 @@ _GRID = 1 << 20  # cells (length times length) up to which a pair is matched as
 _POPULAR = 200  # from this length of the second text on, the matcher leaves out its frequent characters
 
 
+def _longest(x: str, y: str) -> tuple[int, int, int] | None:
+    """(size, start in x, start in y) of the longest common block, the first in ``x``, then in ``y``; None if it has too many places.
+
+    A block of ``2 * step - 1`` characters holds a whole piece of ``step`` characters of ``x`` that starts at a multiple of
+    ``step``, so once one that long was found from such pieces, all longer ones were."""
+    n, m = len(x), len(y)
+    step, places = max(1, min(n, m) // 4), n + m
+    while True:
+        size, at, to, seen = 0, 0, 0, {}
+        for k in range(0, n - step + 1, step):
+            piece = x[k : k + step]
+            j = y.find(piece)
+            while j >= 0:
+                if seen.get(j - k, -1) <= k:
+                    places -= 1
+                    if places < 0:
+                        return None
+                    p, q, by = k + step, j + step, step
+                    while by:
+                        if p + by <= n and q + by <= m and x[p : p + by] == y[q : q + by]:
+                            p, q = p + by, q + by
+                        else:
+                            by >>= 1
+                    i, o, by = k, j, step
+                    while by:
+                        if i >= by and o >= by and x[i - by : i] == y[o - by : o]:
+                            i, o = i - by, o - by
+                        else:
+                            by >>= 1
+                    seen[j - k] = p
+                    if p - i > size or p - i == size and (i, o) < (at, to):
+                        size, at, to = p - i, i, o
+                j = y.find(piece, j + 1)
+        if size >= 2 * step - 1 or step == 1:
+            return size, at, to
+        step = (size + 1) // 2 or step // 3 or 1
+
+
 def _matched(a: str, b: str) -> int:
     """Characters in the matching blocks of ``SequenceMatcher(None, a, b)``, for ``b`` shorter than ``_POPULAR``.
 
-    Bit (i, j) of a number says that characters i and j are equal; shifted by a row and a column and met with itself,
+    Where a block has many places, bit (i, j) of a number says that characters i and j are equal; shifted by a row and a column and met with itself,
     it says where runs of two, of four … start.  The lowest bit of the longest runs is the block the matcher takes.
     """
     total, todo = 0, [(0, len(a), 0, len(b))]
@@ -148,6 +186,11 @@ def _matched(a: str, b: str) -> int:
         shared = set(first).intersection(second)
         if not shared:
             continue
+        if block := _longest(first, second):
+            size, i, j = block
+            total += size
+            todo += [(alo, alo + i, blo, blo + j), (alo + i + size, ahi, blo + j + size, bhi)]
+            continue
         wide = (bhi - blo) // 8 + 1  # bytes of a row: one bit at least is free, so no run goes on in the next row
         rows = dict.fromkeys(first, bytes(wide))
         for c in shared:

@@ -85,3 +85,20 @@ def test_pruned_search_equals_all_placements(spark, monkeypatch):
 def test_overlap_of_empty_graphs(spark):
     got = {r["pair_id"]: r["overlap"] for r in G.graph_overlap(pairs(spark, [("", ""), ("(a:A)", ""), ("(a:A)", "(b:A)")])).collect()}
     assert got == {0: 0.0, 1: 0.0, 2: 1.0}
+
+
+def test_pattern_is_read_by_the_rules_of_its_graph():
+    """Missing and empty texts, labels that come later, unnamed nodes, both directions, names and blanks that are not ASCII."""
+    read = lambda q: G.pattern_graph(q, {})
+    assert read(None) == read("") == ({}, {})
+    assert read("(a)-[:T]->(b:B)<-[:U]-(a:A)") == ({"a": "A", "b": "B"}, {("a", "b"): "U"})
+    assert read("(a:A)-[]-(:N) (:M) ()") == ({"a": "A", "_2": "N", "_3": "M"}, {("_2", "a"): None, ("a", "_2"): None})
+    assert read("(a)-[:T]-(b)-[:U]->(a)") == ({"a": None, "b": None}, {("b", "a"): "T", ("a", "b"): "T"})
+    assert read("(\u00e9)-[:T]->(b) (c\u00a0) ( d\n:D {x: 1})") == ({"b": None, "d": "D"}, {})
+
+
+def test_graphs_are_read_in_batches_not_by_interpreted_lambdas(spark):
+    df = spark.createDataFrame([(1, "(a:A)-[:T]->(b)", None)], "pair_id bigint, gold string, pred string")
+    plan = G.shape_pairs(G.graph_pairs(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp" not in plan
+    assert [tuple(r) for r in G.graph_pairs(df).select("pair_id", "g1", "g2").collect()] == [(1, ([("a", "A"), ("b", None)], [("a", "b", "T")]), ([], []))]

@@ -152,3 +152,23 @@ def test_similarity_bound_counts_each_text_once(spark):
     want = [2 * 4 / 11, 1.0, 0.0, 0.0, None, 2 / 3]
     assert [r["v"] for r in df.orderBy("pair_id").collect()] == [w if w is None else pytest.approx(w) for w in want]
     assert "aggregate(" not in plan(df)
+
+
+def test_longest_block_is_the_first_of_the_longest():
+    from difflib import SequenceMatcher
+
+    rng = random.Random(11)
+    for _ in range(400):
+        letters = rng.choice(["ab", "abcd ", "SELECT o_key é"])
+        a = "".join(rng.choices(letters, k=rng.randrange(1, 90)))
+        b = list(a) if rng.random() < 0.5 else rng.choices(letters, k=rng.randrange(1, 90))
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(6)] = rng.choices(letters, k=rng.randrange(6))
+        b = "".join(b)
+        matcher = SequenceMatcher(None, a, b)
+        want, found = matcher.find_longest_match(), M._longest(a, b)
+        assert found is None or found[0] == want.size and (not want.size or found[1:] == (want.a, want.b))
+        assert M._ratio(a, b) == matcher.ratio()
+    assert M._longest("xy" * 450, "yx" * 75) in (None, (150, 1, 0))
+    assert M._longest("SELECT a FROM b", "SELECT c FROM b") == (7, 0, 0)
