@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from querygauge.operators.placement import spread
-from querygauge.session import cut_lineage, scratch_path
+from querygauge.session import batches_of, cut_lineage, scratch_path
 
 LIST = 10_000  # entries of one n-gram that meet the other side together
 
@@ -40,6 +40,11 @@ def meet(left: DataFrame, right: DataFrame, on: list[str], spread_by: str, sizes
 
 GRAM = 8  # bytes of an n-gram: they fill one 64-bit number, so equal numbers are equal n-grams
 WINDOW = 8  # neighbouring n-grams of which a text lists the one with the smallest hash
+LONG = GRAM + WINDOW - 1  # bytes from which a gold has a whole window
+PIECE = 1 << 18  # bytes of texts that are looked through at once
+TEXTS = 1_000  # texts that Python is handed at once
+MARKS = 26  # most marks of asked n-grams, as a power of two
+GOLD_GRAMS, PLACES = "_g string, size bigint, gram bigint, whole boolean", "_id bigint, size bigint, gram bigint"
 
 
 def _packed(data: np.ndarray, size: int) -> np.ndarray:
@@ -51,12 +56,17 @@ def _packed(data: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _window_minima(grams: np.ndarray, window: int) -> np.ndarray:
-    """The n-gram of smallest hash of each run of ``window`` neighbours (of all, if they are fewer), once each."""
+def _hashes(grams: np.ndarray) -> np.ndarray:
+    """One to one, so equal hashes are equal n-grams."""
     h = grams.copy()
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    h ^= h >> np.uint64(31)  # one to one, so equal minima are equal n-grams
+    return h ^ (h >> np.uint64(31))
+
+
+def _window_minima(grams: np.ndarray, window: int) -> np.ndarray:
+    """The n-gram of smallest hash of each run of ``window`` neighbours (of all, if they are fewer), once each."""
+    h = _hashes(grams)
     if len(grams) <= window:
         return grams[[np.argmin(h)]] if len(grams) else grams
     least, order = np.unique(h, return_index=True)
@@ -64,21 +74,111 @@ def _window_minima(grams: np.ndarray, window: int) -> np.ndarray:
     return grams[order[np.searchsorted(least, np.unique(minima))]]
 
 
-def _entries(texts: DataFrame, key: str, text: str, sizes: list[int], whole: bool) -> DataFrame:
-    """(key, size, gram) of each text: runs of each short size, and long n-grams, all of them or window minima."""
-    kind = texts.schema[key].dataType
+def _are_minima(grams: np.ndarray, window: int, whole: np.ndarray) -> np.ndarray:
+    """Which n-grams have the smallest hash of a run of ``window`` (a power of two) neighbours; only runs whose start is ``whole`` count."""
+    h = _hashes(grams)
+    least, step = h, 1
+    while step < window:  # the least of 2, 4, 8 neighbours
+        least, step = np.minimum(least[:-step], least[step:]), 2 * step
+    runs = np.zeros(len(h) + window - 1, np.uint64)  # and of the runs that hold an n-gram, the largest least
+    runs[window - 1 : window - 1 + len(least)] = np.where(whole[: len(least)], least, np.uint64(0))
+    step = 1
+    while step < window:
+        runs, step = np.maximum(runs[:-step], runs[step:]), 2 * step
+    return runs == h
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _marks(grams: np.ndarray, size: int, bits: int) -> list[np.ndarray]:
+    """The two marks of each n-gram, of 2 ** ``bits``."""
+    return [((grams + np.uint64(size)) * np.uint64(factor) >> np.uint64(64 - bits)).view(np.int64) for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+
+def _gold_grams(golds: DataFrame) -> DataFrame:
+    """(_g, size, gram, whole) of each gold: itself if it is shorter than an n-gram, else its n-grams, from ``LONG`` bytes its window minima.
+
+    ``whole``: texts must list all n-grams to meet it.  An empty gold has size 0."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, value in enumerate(batch.column(1)):
+            kinds, found, held = [], [], 0
+            for i, value in enumerate(batch.column(0)):
                 data = np.frombuffer(value.as_py().encode(), np.uint8).astype(np.uint64)
-                for size in sizes:
-                    grams = _packed(data, size)
-                    grams = _window_minima(grams, WINDOW) if size == GRAM and not whole else np.unique(grams)
-                    keys = batch.column(0).take(pa.array(np.full(len(grams), i)))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(grams), size)), pa.array(grams.view(np.int64))], ["k", "size", "gram"])
+                size = min(len(data), GRAM)
+                own = _packed(data, size) if size else np.zeros(1, np.uint64)
+                found.append(np.unique(own) if len(data) < LONG else _window_minima(own, WINDOW))
+                kinds.append((i, size, GRAM <= len(data) < LONG))
+                held += len(found[-1])
+                if held >= PIECE or i + 1 == len(batch):
+                    rows, sizes, whole = (pa.array(np.repeat(c, [len(g) for g in found])) for c in zip(*kinds, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), sizes, pa.array(np.concatenate(found).view(np.int64)), whole], ["_g", "size", "gram", "whole"])
+                    kinds, found, held = [], [], 0
+
+    return golds.select("_g").mapInArrow(grams, GOLD_GRAMS)
 
-    return texts.select(key, text).mapInArrow(entries, f"k {kind.simpleString()}, size bigint, gram bigint").withColumnRenamed("k", key)
+
+def _marked(asked: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Bits set at the marks of ``n`` n-grams (size, gram), and the power of two of their number: about 128 bits for each mark, up to 2 ** ``MARKS``."""
+    bits = min(max(16, (2 * n - 1).bit_length() + 7), MARKS)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, gram = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            marks = np.concatenate([m for s in np.unique(size) for m in _marks(gram[size == s].view(np.uint64), int(s), bits)])
+            yield pa.RecordBatch.from_arrays([pa.array(marks >> 6), pa.array((np.uint64(1) << (marks & 63).view(np.uint64)).view(np.int64))], ["word", "bit"])
+
+    set_ = asked.select("size", "gram").mapInArrow(words, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[set_["word"].to_numpy()] = set_["bits"].to_numpy()
+    return out.astype("<i8").view(np.uint8), bits
+
+
+def _text_grams(texts: DataFrame, key: str, text: str, sizes: list[int], whole: bool, marked: tuple[np.ndarray, int]) -> DataFrame:
+    """(key, size, gram) of the marked n-grams of each text: runs of each short size, and long n-grams, all of them or window minima.
+
+    Texts of a batch are looked through as one run of bytes, by the piece.  Few n-grams that nobody asked for share the
+    marks of others; one that stands in two pieces of a text comes twice."""
+    kind = texts.schema[key].dataType
+    (packed, bits), piece = marked, PIECE
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_marked = np.unpackbits(packed, bitorder="little").view(bool)
+        for batch in batches:
+            column = batch.column(1).cast(pa.large_string())
+            ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+            if not len(column) or ends[-1] == ends[0]:
+                continue
+            data = np.frombuffer(column.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0])
+            ends = ends - ends[0]
+            for start in range(0, len(data), piece):
+                before = min(start, WINDOW - 1)  # runs that begin before the piece
+                near = data[start - before : start + piece + LONG - 1].astype(np.uint64)
+                runs = near
+                for size in range(1, max(sizes) + 1):
+                    runs = runs if size == 1 else (runs[:-1] << np.uint64(8)) | near[size - 1 :]
+                    if size not in sizes:
+                        continue
+                    here = runs[before : before + piece]
+                    marks = _marks(here, size, bits)
+                    at = np.flatnonzero(is_marked[marks[0]])
+                    at = at[is_marked[marks[1][at]]]
+                    if size == GRAM and not whole and len(at):
+                        inside = np.ones(len(runs), bool)
+                        for back in range(1, LONG):  # runs of n-grams that begin here pass the end of their text
+                            over = ends[1:] - back - (start - before)
+                            inside[over[(over >= 0) & (over < len(runs))]] = False
+                        at = at[_are_minima(runs, WINDOW, inside)[before : before + piece][at]]
+                    row = np.searchsorted(ends, start + at, "right") - 1
+                    fits = start + at + size <= ends[row + 1]
+                    row, gram = row[fits], here[at[fits]]
+                    order = np.lexsort((gram, row))
+                    row, gram = row[order], gram[order]
+                    first = np.ones(len(row), bool)
+                    first[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+                    row, gram = row[first], gram[first]
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), size)), pa.array(gram.view(np.int64))], ["k", "size", "gram"])
+
+    return texts.select(key, text).mapInArrow(grams, f"k {kind.simpleString()}, size bigint, gram bigint").withColumnRenamed("k", key)
 
 
 def contains_join(golds: DataFrame, texts: DataFrame, gold_key: str, gold: str, text_key: str, text: str, most: int = LIST) -> DataFrame:
@@ -86,30 +186,32 @@ def contains_join(golds: DataFrame, texts: DataFrame, gold_key: str, gold: str,
 
     A gold of 15 bytes or more is looked up by the rarest of its window minima: a text that holds it has the same
     windows and lists the same minima, about two of nine n-grams.  Golds of 8 to 14 bytes need all n-grams of the
-    texts, shorter ones the runs of their own length; texts list only what the golds at hand ask for.  Only entries
-    that some gold has are shuffled where golds are few enough to be broadcast by the planner.  Empty golds stand in every
+    texts, shorter ones the runs of their own length; texts list only what the golds at hand ask for.  Of that, only
+    entries whose marks some gold has set leave Python; texts are listed once, into the shared folder.  Empty golds stand in every
     text that is not null; a null gold or text matches nothing.  Repeated keys give a row for each pair of rows.
     """
+    spark = golds.sparkSession
     own = golds.select(F.col(gold_key).alias("_gk"), F.lower(F.col(gold).cast("string")).alias("_g")).filter(F.col("_g").isNotNull())
     all_texts = texts.select(F.col(text_key).alias("_tk"), F.lower(F.col(text).cast("string")).alias("_t")).filter(F.col("_t").isNotNull())
-    distinct = own.select("_g").distinct().withColumn("_n", F.octet_length("_g"))
-    long_from = GRAM + WINDOW - 1
-    kinds = distinct.filter(F.col("_n") > 0).select(F.least("_n", F.lit(GRAM)).alias("size"), (F.col("_n").between(GRAM, long_from - 1)).alias("whole")).distinct().collect()
-    sizes, whole = sorted({k["size"] for k in kinds}), any(k["whole"] for k in kinds)
-
-    # ids only gather candidates, texts verify them; the exchange by id also serves the join that brings texts back
-    tids = spread(all_texts.select("_t").withColumn("_id", F.xxhash64("_t")), "_id").dropDuplicates(["_id", "_t"])
-    at_length = lambda least, most: distinct.filter(F.col("_n").between(least, most)).select("_g", F.col("_g").alias("_s"))
-    classes = [_entries(at_length(n, n), "_g", "_s", [n], True) for n in sizes if n < GRAM]
-    classes.append(_entries(at_length(GRAM, long_from - 1), "_g", "_s", [GRAM], True))
-    classes.append(_entries(at_length(long_from, 2**31 - 1), "_g", "_s", [GRAM], False))
     # written, so that the planner knows how small they are: else all n-grams of all texts move to meet them
-    folder = scratch_path(golds.sparkSession, "grams")
-    reduce(DataFrame.unionAll, classes).write.parquet(folder)
-    gold_grams = golds.sparkSession.read.parquet(folder)
+    folder = scratch_path(spark, "grams")
+    _gold_grams(own.select("_g").distinct()).write.parquet(folder)
+    gold_grams = spark.read.schema(GOLD_GRAMS).parquet(folder)
     on = ["size", "gram"]
-    asked = gold_grams.select(*on).distinct()
-    places = _entries(tids, "_id", "_t", sizes, whole).join(asked, on, "left_semi").distinct()
+    asked = gold_grams.filter("size > 0").select(*on).distinct()
+    kinds = gold_grams.groupBy("size").agg(F.count_distinct("gram").alias("n"), F.max("whole").alias("whole")).collect()
+    sizes, whole = sorted(k["size"] for k in kinds if k["size"]), any(k["whole"] for k in kinds)
+
+    # ids only gather candidates, texts verify them
+    tids = spread(all_texts.select("_t").withColumn("_id", F.xxhash64("_t")), "_id").dropDuplicates(["_id", "_t"])
+    folder = scratch_path(spark, "places")
+    if sizes:
+        marked = _marked(asked, sum(k["n"] for k in kinds if k["size"]))
+        with batches_of(spark, TEXTS):
+            _text_grams(tids, "_id", "_t", sizes, whole, marked).write.parquet(folder)
+    else:
+        spark.createDataFrame([], PLACES).write.parquet(folder)
+    places = spark.read.schema(PLACES).parquet(folder).join(asked, on, "left_semi").distinct()
     counts = places.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     rarest = gold_grams.join(counts, on, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     chosen = rarest.groupBy("_g").agg(F.min(F.struct("n", "size", "gram")).alias("b")).select("_g", "b.size", "b.gram", "b.n").filter(F.col("n") > 0)
@@ -118,10 +220,10 @@ def contains_join(golds: DataFrame, texts: DataFrame, gold_key: str, gold: str,
     # copies of a gold or a text come back by equality; texts themselves do not move again, their digests do
     keyed = all_texts.select("_tk", F.sha2("_t", 256).alias("_h"))
     found = own.join(held, "_g").join(keyed, "_h").select("_gk", "_tk")
-    empty = own.filter(F.col("_g") == "").select("_gk")
-    if empty.isEmpty():
+    if all(k["size"] for k in kinds):
         pairs = found
     else:  # an empty gold stands everywhere: its keys, numbered in blocks, repeat every text
+        empty = own.filter(F.col("_g") == "").select("_gk")
         blocks = empty.withColumn("_b", F.pmod(F.xxhash64("_gk"), F.lit(64))).groupBy("_b").agg(F.collect_list("_gk").alias("_ks"))
         everywhere = all_texts.select("_tk", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_b")).join(blocks, "_b")
         pairs = found.unionAll(everywhere.select(F.explode("_ks").alias("_gk"), "_tk"))

@@ -39,6 +39,44 @@ def test_contains_join_of_empty_tables(spark):
     assert M.contains_join(golds, texts.limit(0), "g", "gold", "t", "text").count() == 0
 
 
+def test_texts_are_listed_once_and_only_under_what_golds_ask_for(spark, monkeypatch, tmp_path):
+    rng = random.Random(11)
+    texts = spark.createDataFrame([(i, " ".join(str(rng.random()) for _ in range(200))) for i in range(40)] + [(40, "one old bolt, and a sentence of the benchmark")], "t long, text string")
+    golds = spark.createDataFrame([("old",), ("old bolt",), ("A sentence of the benchmark",)], "gold string")
+    monkeypatch.setattr(M, "scratch_path", lambda _, name: str(tmp_path / name))
+    found = M.contains_join(golds, texts, "gold", "gold", "t", "text")
+    # n-grams of texts were made again by each part of the plan that met them
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert 3 <= spark.read.parquet(str(tmp_path / "places")).count() <= 30  # of about 450,000
+    assert sorted(map(tuple, found.collect())) == [("A sentence of the benchmark", 40), ("old", 40), ("old bolt", 40)]
+
+
+@pytest.mark.parametrize("piece", [1, 5, 64, 1 << 18])
+@pytest.mark.parametrize("whole", [True, False])
+def test_grams_of_texts_do_not_depend_on_pieces(spark, monkeypatch, piece, whole):
+    rng = random.Random(13)
+    texts = [(i, "".join(rng.choice("abé ") for _ in range(rng.choice([0, 1, 7, 8, 14, 15, 16, 40, 90])))) for i in range(40)] + [(40, ""), (41, "b" * 50)]
+    packed = lambda t, n: M._packed(M.np.frombuffer(t.encode(), M.np.uint8).astype(M.np.uint64), n)
+    signed = lambda grams: grams.view(M.np.int64).tolist()
+    long = lambda t: packed(t, 8) if whole else M._window_minima(packed(t, 8), 8) if len(t.encode()) >= M.LONG else packed("", 8)
+    want = {(i, n, g) for i, t in texts for n, grams in ((8, long(t)), (3, packed(t, 3))) for g in signed(grams)}
+    asked = sorted({(n, g) for _, n, g in want})[::2]
+    marked = M._marked(spark.createDataFrame(asked, "size long, gram long"), len(asked))
+    monkeypatch.setattr(M, "PIECE", piece)
+    got = {tuple(r) for r in M._text_grams(spark.createDataFrame(texts, "k long, t string"), "k", "t", [3, 8], whole, marked).collect()}
+    assert {(i, n, g) for i, n, g in want if (n, g) in set(asked)} <= got <= want
+    assert len({(n, g) for _, n, g in got} - set(asked)) <= 3  # an n-gram that shares the marks of others
+
+
+def test_marks_hold_many_grams(spark):
+    grams = spark.range(300_000).selectExpr("8L AS size", "xxhash64(id) AS gram")
+    packed, bits = M._marked(grams, 300_000)
+    held = M.np.unpackbits(packed, bitorder="little").view(bool)
+    ours, others = (M.np.array([r[0] for r in df.collect()], M.np.int64).view(M.np.uint64) for df in (grams.select("gram"), spark.range(300_000).selectExpr("xxhash64(-1 - id)")))
+    hit = lambda g: held[M._marks(g, 8, bits)[0]] & held[M._marks(g, 8, bits)[1]]
+    assert hit(ours).all() and hit(others).mean() < 0.01
+
+
 @pytest.mark.parametrize("at_least,most", [(0.7, 10_000), (0.8, 4), (1.0, 10_000)])
 def test_best_gold_equals_all_pairs(spark, at_least, most):
     rng = random.Random(7)
